@@ -53,7 +53,7 @@ def block(fp: Column, k: int) -> Column:
 
 def numbered(hashes: Column) -> Column:
     """The multiset as a set: the second, third ... occurrence of a hash gets a value of its own."""
-    seen = F.transform(hashes, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(hashes, 1, i + 1), lambda y: y == x)).alias("o")))
+    seen = F.transform(hashes, lambda x, i: F.named_struct(F.lit("x"), x, F.lit("o"), F.size(F.filter(F.slice(hashes, 1, i + 1), lambda y: y == x))))
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(F.transform(seen, lambda s: F.when(s["o"] == 1, s["x"]).otherwise(F.xxhash64(s["x"], s["o"]))))
 
 
