@@ -182,7 +182,8 @@ class IvfIndex:
         return self.spark.read.parquet(self.path + ".deleted")
 
     def rows(self) -> DataFrame:
-        out, gone = self.spark.read.schema(self.schema).parquet(self.path), self._deleted()
+        out = self.spark.read.schema(self.schema).parquet(self.path).select(*[c.split()[0] for c in self.schema.split(", ")])
+        gone = self._deleted()
         return out if gone is None else out.join(gone, "id", "left_anti")
 
     def vacuum(self, path: str) -> "IvfIndex":
