@@ -30,14 +30,17 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (for a file scan: the bytes of its files)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str) -> int:
+    """Size of the files under ``df`` where it scans one relation; else the bytes of its texts, halved as files would."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if leaves.size() == 1 and leaves.head().getClass().getSimpleName() == "LogicalRelation":
+        return int(str(leaves.head().stats().sizeInBytes()))
+    return (df.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0) // 2
 
 
 def partitions_for(spark: SparkSession, size: int, each: int = 16 << 20) -> int:
     """Partitions so that each holds about ``each`` of ``size`` input bytes; at least the session's setting."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(size, 1 << 50) // each))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def same(left: Column, right: Column) -> Column:

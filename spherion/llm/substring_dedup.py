@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from spherion.llm.fmindex import FmIndex
 from spherion.llm.pairs import expand
-from spherion.llm.shared import partitions_for, plan_bytes, written
+from spherion.llm.shared import input_bytes, partitions_for, written
 from spherion.llm.textkernel import BASE, blocks, mixed, ngram_hashes, sliding_min, texts_of, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 5
@@ -296,8 +296,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     nothing was removed.  Rows with a null doc_id neither lose words nor make others lose them; rows with equal doc_id
     don't affect each other; an empty table gives an empty table; other columns are not read.
     """
-    size = plan_bytes(docs)
-    shards = partitions_for(spark, size, SHARD)
+    shards = partitions_for(spark, input_bytes(docs, "text"), SHARD)
     buckets = 4 * shards
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     given = given.select("doc_id", F.xxhash64("doc_id", "text").alias("th"), "text")
