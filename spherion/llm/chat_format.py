@@ -21,6 +21,7 @@ MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "user": ("<s>[INST] ", " [/I
 OTHER = ("<<ROLE>>", "<<:>>", "<</ROLE>>")
 #: What may stand for something else when read back.
 CONTROL = r"<<SYS>>|<</SYS>>|<s>|</s>|\[INST\]|\[/INST\]|<</?ROLE>>|<<:>>|\\[123]"
+RAW_CONTROL = CONTROL.removesuffix(r"|\\[123]")
 TURN = r"(?s).*?(?: \[/INST\]| </s>|\n<</SYS>>\n\n|<</ROLE>>)"
 ESCAPES = (("\\", "\\1"), ("[", "\\2"), ("<", "\\3"))
 
@@ -62,16 +63,19 @@ def _inside(chunk: Column, opening: str, closing: str) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """Array of (role, text) read from a formatted conversation."""
+    """Array of (role, text) read from a formatted conversation; a text with a bare control string is malformed: null."""
+
+    def content(inner: Column) -> Column:
+        return F.when(~inner.rlike(RAW_CONTROL), unescaped(inner))
 
     def turn(chunk: Column) -> Column:
         body = _inside(chunk, OTHER[0], OTHER[2])
         out = F.struct(
             unescaped(F.substring_index(body, OTHER[1], 1)).alias("role"),
-            unescaped(F.substring(body, F.char_length(F.substring_index(body, OTHER[1], 1)) + len(OTHER[1]) + 1, F.char_length(body))).alias("text"),
+            content(F.substring(body, F.char_length(F.substring_index(body, OTHER[1], 1)) + len(OTHER[1]) + 1, F.char_length(body))).alias("text"),
         )
         for role, (opening, closing) in MARKS.items():
-            out = F.when(chunk.endswith(closing), F.struct(F.lit(role).alias("role"), unescaped(_inside(chunk, opening, closing)).alias("text"))).otherwise(out)
+            out = F.when(chunk.endswith(closing), F.struct(F.lit(role).alias("role"), content(_inside(chunk, opening, closing)).alias("text"))).otherwise(out)
         return out
 
     return F.transform(turn_strings(text), turn)
@@ -137,7 +141,7 @@ select conv_id, cast(count(*) as bigint) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
   sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
-  cast(sum(case role when 'system' then 20 when 'user' then 18 when 'assistant' then 6 else 21 + length(role) end + length(text)
+  cast(sum(case role when 'system' then 19 when 'user' then 18 when 'assistant' then 6 else 22 + length(role) end + length(text)
     + case when hard then length(text) - length(replace(replace(replace(text, '\', ''), '[', ''), '<', '')) else 0 end) as bigint) as formatted_chars
 from odd group by conv_id
 """
