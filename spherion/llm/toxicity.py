@@ -1,24 +1,26 @@
 """Toxicity of documents: a classifier chain.
 
 The chain predicts ``insult``, then ``severe``, then ``toxic``; every link is a logistic regression over the presence of
-indicative words, and the links after the first also get the probabilities of the links before them.  In training these
-come out of fold.  ``labels`` has one toxicity column; the first two categories are derived from it by the rule in
-``categories``.  Indicative words are those that toxic documents hold significantly more often, found by counting.
+indicative words and word beginnings and over how many words are indicative; the links after the first also get the
+probabilities of the links before them.  In training these come out of fold.  ``labels`` has one toxicity column; the first
+two categories are derived from it by the rule in ``categories``.  Indicative is what toxic documents hold significantly
+more often, found by counting.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spherion.llm.quality import held_out, training_labels
-from spherion.llm.shared import written
 from spherion.llm.textkernel import blocks, lowered, texts_of, word_hashes, word_spans
 
-#: Labelled documents that training sees at most; indicative words kept at most, and their least z-score and documents.
-TRAINING_ROWS, WORDS, LEAST_Z, LEAST_DOCS = 20000, 256, 6.0, 5
+#: Labelled documents that training sees at most; indicative features kept at most, and their least z-score and documents.
+TRAINING_ROWS, FEATURES, LEAST_Z, LEAST_DOCS = 8000, 256, 8.0, 6
+#: Bytes of the word beginnings that are features beside the whole word; numbers of indicative words that are features.
+BEGINNINGS, COUNTS = (4, 5, 6), (1, 2, 3)
 CHAIN = ("insult", "severe", "toxic")
 FOLDS, PENALTY, THRESHOLD = 5, 1e-3, 0.5
 
@@ -27,30 +29,29 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def document_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct words of each text, in order of text."""
+def word_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(text, kinds): the text of each lower-cased word, and for each kind of feature the words that have it and its hashes."""
     raw = lowered(raw)
     starts, ends, first = word_spans(raw, offsets, _WORD)
-    text, hashes = np.repeat(np.arange(len(offsets) - 1), np.diff(first)), word_hashes(raw, starts, ends)
-    return text, hashes
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    kinds = [(np.arange(len(starts)), word_hashes(raw, starts, ends))]
+    for n in BEGINNINGS:
+        own = np.flatnonzero(ends - starts > n)
+        kinds.append((own, word_hashes(raw, starts[own], starts[own] + n) ^ np.uint64(n)))
+    return text, kinds
 
 
-def _distinct(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-    return text[new], hashes[new]
-
-
-def _word_batches(batches):
+def _feature_batches(batches):
+    """Rows (y, feature) of the distinct features of each text."""
     for batch in batches:
-        raw, offsets = texts_of(batch.column(2))
-        ids, ys = batch.column(0), batch.column(1)
+        raw, offsets = texts_of(batch.column(1))
         for a, b in blocks(offsets):
-            text, hashes = _distinct(*document_words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-            at = pa.array(text + a)
-            yield pa.RecordBatch.from_arrays([ids.take(at), ys.take(at), pa.array(hashes.view(np.int64))], ["doc_id", "y", "word"])
+            text, kinds = word_features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            text, feature = np.concatenate([text[own] for own, _ in kinds]), np.concatenate([h for _, h in kinds])
+            order = np.lexsort((feature, text))
+            text, feature = text[order], feature[order]
+            new = np.r_[True, (np.diff(text) != 0) | (feature[1:] != feature[:-1])][: len(text)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[new] + a)), pa.array(feature[new].view(np.int64))], ["y", "feature"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -71,20 +72,46 @@ def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def categories(x: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
-    """Labels of the chain: toxic documents with an indicative word are insults, those with three or more severe."""
-    hits = x.sum(1)
-    return {"insult": toxic * (hits >= 1), "severe": toxic * (hits >= 3), "toxic": toxic}
+def categories(hits: np.ndarray, toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """Labels of the chain: toxic documents with two or more indicative words are insults, those with five or more severe."""
+    return {"insult": toxic * (hits >= 2), "severe": toxic * (hits >= 5), "toxic": toxic}
+
+
+class Evidence:
+    """features(raw, offsets) -> (x, hits): a row per text, and how many of its words are indicative."""
+
+    def __init__(self, features: np.ndarray):
+        self.features = np.sort(features)
+        self.width = len(features) + len(COUNTS)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.features & np.uint64(0xFFFF)] = True
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, known = len(offsets) - 1, len(self.features)
+        x = np.zeros((n, self.width), np.uint8)
+        text, kinds = word_features(raw, offsets)
+        indicative = np.zeros(len(text), bool)
+        for own, feature in kinds if known else ():
+            some = np.flatnonzero(self.maybe[feature & np.uint64(0xFFFF)])
+            at = np.minimum(np.searchsorted(self.features, feature[some]), known - 1)
+            hit = self.features[at] == feature[some]
+            word, at = own[some[hit]], at[hit]
+            x[text[word], at] = 1
+            indicative[word] = True
+        hits = np.bincount(text[indicative], minlength=n)
+        for k, least in enumerate(COUNTS):
+            x[:, known + k] = hits >= least
+        return x, hits
 
 
 class Chain:
     """probabilities(x) -> a column per category."""
 
-    def __init__(self, words: np.ndarray):
-        self.words, self.links = np.sort(words), []
+    def __init__(self, evidence: Evidence):
+        self.evidence, self.links = evidence, []
 
-    def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> "Chain":
-        labels, given = categories(x, y), x
+    def fit(self, x: np.ndarray, hits: np.ndarray, y: np.ndarray, fold: np.ndarray) -> "Chain":
+        labels, given = categories(hits, y), x
         for name in CHAIN:
             out = np.zeros(len(x))
             for k in range(FOLDS):
@@ -101,44 +128,41 @@ class Chain:
             given = np.hstack([given, probability(given, w)[:, None]])
         return given[:, x.shape[1] :]
 
-    def presence(self, text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-        x = np.zeros((n, len(self.words)))
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = self.words[at] == hashes
-            x[text[hit], at[hit]] = 1
-        return x
 
-
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Chain | None:
     """A chain from at most ``rows`` labelled documents; None where there are not both labels to learn from."""
     known = training_labels(labels, "toxic", rows).withColumnRenamed("doc_id", "__id")
     text = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("text"))
-    sample = text.join(F.broadcast(known), text["__doc"] == known["__id"]).select("__id", "y", "text")
-    held = written(spark, sample.mapInArrow(_word_batches, "doc_id long, y int, word long"), "toxic-words")
-    ids = written(spark, sample.select(F.col("__id").alias("doc_id"), "y").distinct(), "toxic-ids").toPandas().sort_values("doc_id")
-    y = ids["y"].to_numpy(dtype=float)
-    if len(set(y.tolist())) < 2:
+    sample = text.join(F.broadcast(known), text["__doc"] == known["__id"]).select("y", "__id", "text")
+    facts = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).first()
+    if facts["bad"] in (0, facts["n"]):
         return None
-    n, bad = len(y), y.sum()
-    share = F.lit(float(bad / n))
-    by = held.groupBy("word").agg(F.countDistinct("doc_id").alias("df"), F.countDistinct(F.when(F.col("y") == 1, F.col("doc_id"))).alias("hits")).where(F.col("df") >= LEAST_DOCS)
+    share = F.lit(facts["bad"] / facts["n"])
+    by = sample.select("y", "text").mapInArrow(_feature_batches, "y int, feature long").groupBy("feature").agg(F.count("*").alias("df"), F.sum("y").alias("hits"))
     z = (F.col("hits") - F.col("df") * share) / F.sqrt(F.col("df") * share * (1 - share))
-    words = by.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(WORDS)
-    words = np.array([r["word"] for r in words.collect()], np.int64).view(np.uint64)
-    chain = Chain(words)
-    pairs = held.join(F.broadcast(spark.createDataFrame([(int(w),) for w in words.view(np.int64)], "word long")), "word").select("doc_id", "word").toPandas()
-    x = chain.presence(np.searchsorted(ids["doc_id"].to_numpy(), pairs["doc_id"].to_numpy()), pairs["word"].to_numpy(np.int64).view(np.uint64), n)
-    return chain.fit(x, y, (np.arange(n) * 2654435761 >> 7) % FOLDS)
+    best = by.where(F.col("df") >= LEAST_DOCS).select("feature", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
+    evidence = Evidence(np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64))
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = texts_of(batch.column(2))
+            found = [evidence(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(offsets)]
+            x, hits = (np.concatenate(f) for f in zip(*found)) if found else (np.zeros((0, evidence.width), np.uint8), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in x], pa.binary()), pa.array(hits)], ["y", "id", "x", "hits"])
+
+    seen = sample.mapInArrow(run, "y int, id long, x binary, hits long").toPandas().sort_values(["id", "hits"], kind="stable")
+    x = np.frombuffer(b"".join(seen["x"]), np.uint8).reshape(len(seen), -1).astype(np.float64)
+    fold = seen["id"].to_numpy() * 2654435761 >> 7
+    return Chain(evidence).fit(x, seen["hits"].to_numpy(), seen["y"].to_numpy(dtype=np.float64), fold % FOLDS)
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """(doc_id, held_out, insult, severe, toxic, predicted): probabilities per row of ``docs``; predicted is 1 where toxic >= 0.5.
 
     Whole texts are read; null and empty texts have no words.  Null ids and repeated rows pass through; other columns
     are not read.  Without labels of both kinds all probabilities are zero.
     """
-    chain = train(spark, docs, labels, rows)
+    chain = train(docs, labels, rows)
 
     def run(batches):
         for batch in batches:
@@ -148,8 +172,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows
                 if chain is None:
                     found.append(np.zeros((b - a, len(CHAIN))))
                 else:
-                    text, hashes = document_words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    found.append(chain.probabilities(chain.presence(text, hashes, b - a)))
+                    found.append(chain.probabilities(chain.evidence(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0]))
             p = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(CHAIN)))], ["doc_id", *CHAIN])
 

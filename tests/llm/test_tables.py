@@ -198,13 +198,13 @@ def test_toxicity(spark):
     rows += [(1000, None, "s", 9), (1001, "", "s", 9), (None, "vile nasty", "s", 9), (1002, "w1 " * 60000 + "vile", "s", 9)]
     docs = spark.createDataFrame(rows, DOCS)
     known = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
-    got = {x["doc_id"]: x for x in toxicity.score_toxicity(spark, docs, known).collect()}
+    got = {x["doc_id"]: x for x in toxicity.score_toxicity(docs, known).collect()}
     assert len(got) == len(rows)
     held = [(i % 8 == 0, got[i]["predicted"] == 1) for i in range(600) if got[i]["held_out"]]
     assert len(held) > 80 and np.mean([a == b for a, b in held]) >= 0.97
     assert got[1002]["predicted"] == 1 and got[1001]["predicted"] == 0 and got[None]["predicted"] == 1
-    assert toxicity.score_toxicity(spark, docs.limit(0), known).count() == 0
-    assert {x["toxic"] for x in toxicity.score_toxicity(spark, docs, known.limit(0)).collect()} == {0.0}
+    assert toxicity.score_toxicity(docs.limit(0), known).count() == 0
+    assert {x["toxic"] for x in toxicity.score_toxicity(docs, known.limit(0)).collect()} == {0.0}
 
 
 # Pipeline
