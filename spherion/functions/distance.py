@@ -169,3 +169,11 @@ def hamming(a, b) -> Column:
 def jaccard(a, b) -> Column:
     """1 - |and| / |or|; null where both are empty."""
     return 1 - _ones(bit_and(a, b)) / F.nullif(_ones(bit_or(a, b)), F.lit(0))
+
+
+def checked_dimension(a: Column | str, n: int) -> Column:
+    """The vector, which must have n components (1 to 65535); null stays null."""
+    if not 1 <= n <= 65535:
+        raise ValueError("dimension must be from 1 to 65535")
+    error = F.raise_error(F.format_string(f"expected {n} dimensions, not %d", F.size(col(a)))).cast("array<double>")
+    return F.when(F.size(col(a)) == n, doubles(a)).when(col(a).isNotNull(), error)

@@ -197,3 +197,18 @@ def merge_top_k(parts: list[list[tuple[float, int]]], k: int) -> list[tuple[floa
     import heapq
 
     return heapq.nsmallest(k, (x for p in parts for x in p))
+
+
+def profiled_search(docs: DataFrame, query, k: int, options: CoarseOptions = CoarseOptions(), id_col: str = "doc_id", tensor_col: str = "tokens") -> tuple[list[tuple[int, float]], dict]:
+    """(result, profile): rows (id, distance), and counts and milliseconds of the stages."""
+    import time
+
+    def timed(f):
+        start = time.perf_counter()
+        out = f()
+        return out, round(1000 * (time.perf_counter() - start), 3)
+
+    size, size_ms = timed(lambda: docs.where(F.col(tensor_col).isNotNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tensor_col)), F.lit(0)).alias("t")).first())
+    found, candidate_ms = timed(lambda: coarse_candidates(docs, query, options, id_col, tensor_col).count())
+    rows, search_ms = timed(lambda: [tuple(r) for r in maxsim_search(docs, query, k, options, id_col, tensor_col).collect()])
+    return rows, {"backend": options.backend, "query_tokens": len(query), "documents": size["n"], "document_tokens": size["t"], "candidates": found, "returned": len(rows), "scan_ms": size_ms, "candidate_ms": candidate_ms, "search_ms": search_ms}

@@ -311,3 +311,17 @@ def test_cost_properties():
     assert cost("auto").startup > cost("gpu").startup
     odd = cost("coarse_only", heap_rows=-1, index_tokens=0, token_nodes_per_query=0, base_index_pages=0, limit=None, candidate_limit=None, selectivity=0)
     assert all(map(math.isfinite, (odd.startup, odd.total, odd.selectivity, odd.index_pages)))
+
+
+def test_checked_dimension(spark):
+    assert one(spark, D.checked_dimension(D.vector([1, 2]), 2)) == [1.0, 2.0]
+    with pytest.raises(Exception, match="expected 3 dimensions, not 2"):
+        one(spark, D.checked_dimension(D.vector([1, 2]), 3))
+    with pytest.raises(ValueError):
+        D.checked_dimension(D.vector([1]), 0)
+
+
+def test_profile(spark):
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(CASES)], "doc_id long, tokens array<array<double>>")
+    rows, profile = M.profiled_search(docs, [[1.0, 0.0], [0.0, 1.0]], 2, M.CoarseOptions(refine=8, candidate_limit=3, backend="auto"))
+    assert [i for i, _ in rows] == [1, 2] and (profile["documents"], profile["document_tokens"], profile["candidates"]) == (4, 6, 3)
