@@ -23,13 +23,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables that ``written`` made and ``release`` may delete.
+_MADE: list[str] = []
+
+
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared scratch folder and read it again."""
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch tables that this driver wrote so far; call it once results are stored.  Returns their number."""
+    n = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def input_bytes(df: DataFrame, text: str) -> int:
     """Size of the files under ``df`` where it scans one relation; else the bytes of its texts, halved as files would."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -222,3 +222,15 @@ def test_pipeline(spark, sf_dir):
     assert seen == sorted(seen, reverse=True) and seen[-1] == seen[-2] and seen[1] > 0.7 * seen[0]
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() == seen[-1] and out.where("n_tokens > 0").count() > 0
+
+
+def test_scratch_tables_are_released(spark):
+    from spherion.llm.shared import release, written
+
+    release(spark)
+    table = written(spark, spark.range(3), "kept")
+    path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert table.count() == 3 and os.path.isdir(path)
+    assert release(spark) == 1 and not os.path.exists(path)
