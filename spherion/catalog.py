@@ -215,6 +215,14 @@ def maxsim_coarse(spark, sf_dir):
     return M.coarse_candidates(documents(df), query_tensor(df)).limit(20)
 
 
+@query()
+def maxsim_indexed(spark, sf_dir):
+    """Candidates from an inverted file of tokens; cells that no probed list holds are estimated."""
+    df = embeddings(spark, sf_dir)
+    index = IvfIndex.build(M.token_rows(documents(df)), scratch_path(spark, "tokens"), IvfOptions(lists=(16,), metric="ip"))
+    return _rounded(M.indexed_candidates(index, query_tensor(df), [4], M.CoarseOptions(refine=64, threshold=400, candidate_limit=20)), "estimate")
+
+
 @query()
 def maxsim_two_stage(spark, sf_dir):
     df = embeddings(spark, sf_dir)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spherion.functions import rabitq
 from spherion.functions.kernels import half, maxsim
+from spherion.operators.ivf import IvfIndex
 
 MAX_TOKENS, MAX_CANDIDATES = 65536, 65536
 BACKENDS = ("coarse_only", "cpu_exact", "gpu", "auto")
@@ -106,8 +107,8 @@ def rerank_ids(docs: DataFrame, query, candidate_ids: list[int], k: int, id_col:
 
 @dataclass(frozen=True)
 class CoarseOptions:
-    """``refine``: nearest estimates of each query token that are scored exactly.  ``threshold`` > 0: tokens without a hit get at
-    least this rank's distance as their estimate.  ``candidate_limit``: documents kept (-1: all)."""
+    """``refine``: nearest estimates of each query token that are scored exactly.  ``threshold``: tokens that a query token's lists
+    must cover before the last list's distance bounds what it did not visit.  ``candidate_limit``: documents kept (-1: all)."""
 
     refine: int = 0
     threshold: int = 0
@@ -152,34 +153,83 @@ def _estimates(q: np.ndarray):
     return run
 
 
-def coarse_candidates(docs: DataFrame, query, options: CoarseOptions = CoarseOptions(), id_col: str = "doc_id", tensor_col: str = "tokens", lists: DataFrame | None = None) -> DataFrame:
-    """(id, estimate): the estimated order of documents.
+def _page_scores(tokens: DataFrame, options: CoarseOptions, bounds: list[float] | None) -> DataFrame:
+    """(id, estimate) from token distances (id, pos, q, rough, exact).
 
-    Token estimates come from 1-bit codes; the ``refine`` best of each query token are replaced by exact distances; a
-    document keeps its least distance per query token; cells without a hit (where ``lists`` restricts which tokens are
-    visited: id, pos, q) get the token's worst visited distance, or 0 if it had none; cells add up.
+    The ``refine`` best of each query token become exact; a document keeps its least distance per query token.  With
+    ``bounds`` (one per query token) not every token was visited: a missing cell is the greater of the query token's worst
+    visited distance and its bound, or 0 if it visited nothing.
     """
-    options = options.checked()
-    q = checked_tensor(query)
-    tokens = docs.select(F.col(id_col).cast("long").alias("id"), tensor_col).mapInArrow(_estimates(q), "id long, pos int, q int, rough double, exact double")
-    if lists is not None:
-        tokens = tokens.join(lists, ["id", "pos", "q"], "left_semi")
     if options.refine:
-        nearest = tokens.orderBy("rough").select("*", F.row_number().over(Window.partitionBy("q").orderBy("rough", "id", "pos")).alias("r")).where(F.col("r") <= options.refine)
-        chosen = nearest.select("id", "pos", "q", F.col("exact").alias("refined"))
+        rank = F.row_number().over(Window.partitionBy("q").orderBy("rough", "id", "pos"))
+        chosen = tokens.select("id", "pos", "q", F.col("exact").alias("refined"), rank.alias("r")).where(F.col("r") <= options.refine).drop("r")
         tokens = tokens.join(chosen, ["id", "pos", "q"], "left").withColumn("rough", F.coalesce("refined", "rough"))
     cells = tokens.groupBy("id", "q").agg(F.min("rough").alias("d"))
-    if lists is None:
+    if bounds is None:
         total = cells.groupBy("id").agg(F.sum("d").alias("estimate"))
     else:
-        worst = cells.groupBy("q").agg(F.max("d").alias("w"))
-        known = cells.join(F.broadcast(worst), "q")
-        gaps = worst.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("all"))
-        total = known.groupBy("id").agg(F.sum("d").alias("d"), F.sum("w").alias("w")).join(F.broadcast(gaps)).select("id", (F.col("d") + F.col("all") - F.col("w")).alias("estimate"))
+        known = F.element_at(F.array(*[F.lit(float(b)) for b in bounds]), F.col("q") + 1)
+        gaps = tokens.groupBy("q").agg(F.greatest(F.max("rough"), known).alias("w"))
+        all_gaps = gaps.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("all"))
+        total = cells.join(F.broadcast(gaps), "q").groupBy("id").agg(F.sum(F.col("d") - F.col("w")).alias("d"))
+        total = total.join(F.broadcast(all_gaps)).select("id", (F.col("d") + F.col("all")).alias("estimate"))
     out = total.orderBy("estimate", "id")
     return out if options.candidate_limit < 0 else out.limit(options.candidate_limit)
 
 
+def coarse_candidates(docs: DataFrame, query, options: CoarseOptions = CoarseOptions(), id_col: str = "doc_id", tensor_col: str = "tokens") -> DataFrame:
+    """(id, estimate): the order of documents that 1-bit codes of all tokens estimate."""
+    options = options.checked()
+    tokens = docs.select(F.col(id_col).cast("long").alias("id"), tensor_col).mapInArrow(_estimates(checked_tensor(query)), "id long, pos int, q int, rough double, exact double")
+    return _page_scores(tokens, options, None)
+
+
+def token_rows(docs: DataFrame, id_col: str = "doc_id", tensor_col: str = "tokens") -> DataFrame:
+    """(vec_id, embedding): a row per token, its id the document's times 65536 plus its position; for an inverted file."""
+    t = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(tensor_col).alias("pos", "embedding"))
+    return t.select((F.col("id") * MAX_TOKENS + F.col("pos")).alias("vec_id"), "embedding")
+
+
+def indexed_candidates(index: IvfIndex, query, probes: str | list[int], options: CoarseOptions = CoarseOptions()) -> DataFrame:
+    """(id, estimate) from an inverted file of ``token_rows`` (metric ip): each query token visits its own probed lists.
+
+    With ``threshold`` the lists are walked on in order of distance until they cover that many tokens; the distance of the
+    last one bounds what was not visited.
+    """
+    options = options.checked()
+    q = checked_tensor(query, index.dim)
+    lists = [index.probed_lists(t, probes) for t in q]
+    leaves, spread = index.levels[-1][0], index.options.residual_quantization
+    bounds = [float("-inf")] * len(q)
+    if options.threshold:
+        sizes = {r["list_id"]: r["n"] for r in index.rows().groupBy("list_id").agg(F.count("*").alias("n")).collect()}
+        for k, t in enumerate(q):
+            covered = sum(sizes.get(x, 0) for x in lists[k])
+            for leaf in np.argsort(-(leaves @ t), kind="stable"):
+                if covered >= options.threshold:
+                    break
+                if int(leaf) not in lists[k]:
+                    covered += sizes.get(int(leaf), 0)
+                    bounds[k] = float(-(leaves[leaf] @ t))
+    rotated = rabitq.rotate(q)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, of = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            x = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
+            signs = np.unpackbits(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(ids), -1), axis=1, bitorder="little")[:, : x.shape[1]].astype(bool)
+            factors = {f: batch.column(batch.schema.get_field_index(f)).to_numpy() for f in ("dis_u_2", "factor_ip", "factor_err")}
+            for k, t in enumerate(rotated):
+                at = np.flatnonzero(np.isin(of, lists[k]))
+                rough = rabitq.binary_estimate("ip", signs[at], {f: v[at] for f, v in factors.items()}, t)[0] - (leaves[of[at]] @ q[k] if spread else 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at] // MAX_TOKENS), pa.array((ids[at] % MAX_TOKENS).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(rough), pa.array(-(x[at] @ q[k]))], ["id", "pos", "q", "rough", "exact"])
+
+    rows = index.rows().where(F.col("list_id").isin(sorted({x for own in lists for x in own})))
+    return _page_scores(rows.mapInArrow(run, "id long, pos int, q int, rough double, exact double"), options, bounds)
+
+
 def maxsim_search(docs: DataFrame, query, k: int, options: CoarseOptions = CoarseOptions(), id_col: str = "doc_id", tensor_col: str = "tokens") -> DataFrame:
     """(id, distance): candidates by ``coarse_candidates``, then, unless the backend is coarse_only, exact reranking of them.
 

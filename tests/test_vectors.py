@@ -325,3 +325,35 @@ def test_profile(spark):
     docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(CASES)], "doc_id long, tokens array<array<double>>")
     rows, profile = M.profiled_search(docs, [[1.0, 0.0], [0.0, 1.0]], 2, M.CoarseOptions(refine=8, candidate_limit=3, backend="auto"))
     assert [i for i, _ in rows] == [1, 2] and (profile["documents"], profile["document_tokens"], profile["candidates"]) == (4, 6, 3)
+
+
+def test_indexed_candidates_fill_gaps(spark):
+    r = np.random.default_rng(8)
+    docs = [(i, r.normal(size=(3, 8)).tolist()) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<array<double>>")
+    q = r.normal(size=(2, 8))
+    index = IvfIndex.build(M.token_rows(df), scratch_path(spark, "ivf"), IvfOptions(lists=(8,), metric="ip"))
+    exact = [x["id"] for x in M.maxsim_top_k(df, q, 5).collect()]
+    full = M.indexed_candidates(index, q, "8", M.CoarseOptions(refine=10000, candidate_limit=5))
+    assert [x["id"] for x in full.collect()] == exact
+    # By hand: exact distances in probed lists, the worst visited or the bound elsewhere.
+    sizes = {x["list_id"]: x["count"] for x in index.rows().groupBy("list_id").count().collect()}
+    lists, leaves = [index.probed_lists(t, "2") for t in q], index.levels[-1][0]
+    of = {x["id"]: x["list_id"] for x in index.rows().collect()}
+    for threshold in (0, 400):
+        want = {}
+        for k, t in enumerate(q):
+            seen = {(i, p): float(-(np.array(d[p]) @ t)) for i, d in docs for p in range(3) if of[i * 65536 + p] in lists[k]}
+            gap, covered = max(seen.values()), sum(sizes[x] for x in lists[k])
+            for leaf in np.argsort(-(leaves @ t), kind="stable"):
+                if covered >= threshold:
+                    break
+                if leaf not in lists[k]:
+                    covered += sizes.get(leaf, 0)
+                    gap = max(gap, max(seen.values()), float(-(leaves[leaf] @ t))) if covered >= threshold else max(seen.values())
+            for i, d in docs:
+                own = [seen[i, p] for p in range(3) if (i, p) in seen]
+                want.setdefault(i, []).append((min(own) if own else gap, bool(own)))
+        want = {i: sum(v for v, _ in c) for i, c in want.items() if any(s for _, s in c)}
+        got = {x["id"]: x["estimate"] for x in M.indexed_candidates(index, q, "2", M.CoarseOptions(refine=10000, threshold=threshold)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
