@@ -89,44 +89,44 @@ def _range(metric: str, radius: float):
 RADIUS = {"l2": 1.3, "ip": -0.2, "cosine": 0.8}
 for _name, _metric in (("l2", "l2"), ("ip", "ip"), ("cos", "cosine")):
     _QUERIES[f"{_name}_topk"], _QUERIES[f"{_name}_range"] = _top(_metric), _range(_metric, RADIUS[_metric])
-    _ORACLE[f"{_name}_topk"] = f"{_COMMON} select vec_id, round(d, 6) as distance from (select vec_id, {_D[_metric]} as d from e, q) order by d, vec_id limit 10"
-    _ORACLE[f"{_name}_range"] = f"{_COMMON} select vec_id, round({_D[_metric]}, 6) as distance from e, q where {_D[_metric]} < {RADIUS[_metric]}"
+    _ORACLE[f"{_name}_topk"] = f"{_COMMON} select vec_id, round(d, 6) + 0 as distance from (select vec_id, {_D[_metric]} as d from e, q) order by d, vec_id limit 10"
+    _ORACLE[f"{_name}_range"] = f"{_COMMON} select vec_id, round({_D[_metric]}, 6) + 0 as distance from e, q where {_D[_metric]} < {RADIUS[_metric]}"
 
 
-@query(f"select vec_id, round(d, 6) as distance from (select vec_id, {_D['l2']} as d from e, q) where d < 1.35 order by d, vec_id limit 25")
+@query(f"select vec_id, round(d, 6) + 0 as distance from (select vec_id, {_D['l2']} as d from e, q) where d < 1.35 order by d, vec_id limit 25")
 def l2_range_ordered(spark, sf_dir):
     """Order and sphere together: the sphere filters, the order ranks."""
     df = embeddings(spark, sf_dir)
     return _rounded(range_search(df, query_vector(df), 1.35).orderBy("distance", "vec_id").limit(25).select("vec_id", "distance"), "distance")
 
 
-@query(f"select vec_id, round(d, 6) as distance from (select vec_id, {_D['l2']} as d from e, q where label in (1, 3, 5)) order by d, vec_id limit 10")
+@query(f"select vec_id, round(d, 6) + 0 as distance from (select vec_id, {_D['l2']} as d from e, q where label in (1, 3, 5)) order by d, vec_id limit 10")
 def filtered_topk(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     return _rounded(top_k(df, query_vector(df), 10, where=F.col("label").isin(1, 3, 5)).select("vec_id", "distance"), "distance")
 
 
-@query(f"select vec_id, round(d, 6) as distance from (select * from (select vec_id, label, {_D['l2']} as d from e, q) order by d, vec_id limit 40) where label in (1, 3, 5) order by d, vec_id limit 10")
+@query(f"select vec_id, round(d, 6) + 0 as distance from (select * from (select vec_id, label, {_D['l2']} as d from e, q) order by d, vec_id limit 40) where label in (1, 3, 5) order by d, vec_id limit 10")
 def max_scan_topk(spark, sf_dir):
     """A cap on what the scan emits comes before the filter."""
     df = embeddings(spark, sf_dir)
     return _rounded(top_k(df, query_vector(df), 10, where=F.col("label").isin(1, 3, 5), max_scan=40).select("vec_id", "distance"), "distance")
 
 
-@query(f"select label, vec_id, round(d, 6) as distance, cast(r as integer) as rank from (select label, vec_id, d, row_number() over (partition by label order by d, vec_id) as r from (select label, vec_id, {_D['l2']} as d from e, q)) where r <= 3")
+@query(f"select label, vec_id, round(d, 6) + 0 as distance, cast(r as integer) as rank from (select label, vec_id, d, row_number() over (partition by label order by d, vec_id) as r from (select label, vec_id, {_D['l2']} as d from e, q)) where r <= 3")
 def topk_per_label(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     return _rounded(top_k_per_group(df, "label", query_vector(df), 3).select("label", "vec_id", "distance", "rank"), "distance")
 
 
-@query("select query_id, neighbor_id, round(d, 6) as distance, cast(r as integer) as rank from (select *, row_number() over (partition by query_id order by d, neighbor_id) as r from (select a.vec_id as query_id, b.vec_id as neighbor_id, list_distance(a.v, b.v) as d from e a, e b where a.vec_id <> b.vec_id)) where r <= 5")
+@query("select query_id, neighbor_id, round(d, 6) + 0 as distance, cast(r as integer) as rank from (select *, row_number() over (partition by query_id order by d, neighbor_id) as r from (select a.vec_id as query_id, b.vec_id as neighbor_id, list_distance(a.v, b.v) as d from e a, e b where a.vec_id <> b.vec_id)) where r <= 5")
 def knn_join(spark, sf_dir):
     """The five nearest others of every vector."""
     df = embeddings(spark, sf_dir)
     return _rounded(nearest_join(df, df, 5, exclude_self=True), "distance")
 
 
-@query(f"select label, count(*) as n, round(min(d), 6) as least, round(max(d), 6) as most, round(avg(d), 6) as mean from (select label, {_D['cosine']} as d from e, q) group by label")
+@query(f"select label, count(*) as n, round(min(d), 6) + 0 as least, round(max(d), 6) + 0 as most, round(avg(d), 6) + 0 as mean from (select label, {_D['cosine']} as d from e, q) group by label")
 def dist_stats_by_label(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     d = df.where("embedding is not null").select("label", D.cosine("embedding", D.vector(query_vector(df))).alias("d"))
@@ -134,18 +134,18 @@ def dist_stats_by_label(spark, sf_dir):
     return _rounded(out, "least", "most", "mean")
 
 
-@query("select vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as norm from e")
+@query("select vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) + 0 as norm from e")
 def vector_norm(spark, sf_dir):
     return embeddings(spark, sf_dir).where("embedding is not null").select("vec_id", F.round(D.norm("embedding"), 6).alias("norm"))
 
 
-@query("select vec_id, round(v[1] / n, 6) as first, round(v[64] / n, 6) as last from (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from e)")
+@query("select vec_id, round(v[1] / n, 6) + 0 as first, round(v[64] / n, 6) + 0 as last from (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from e)")
 def vector_normalize(spark, sf_dir):
     unit = embeddings(spark, sf_dir).where("embedding is not null").select("vec_id", D.normalize("embedding").alias("u"))
     return unit.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.get("u", F.lit(63)), 6).alias("last"))
 
 
-@query("select vec_id, round(v[1] + qv[1], 6) as added, round(v[2] - qv[2], 6) as subtracted, round(v[3] * qv[3], 6) as multiplied from e, q")
+@query("select vec_id, round(v[1] + qv[1], 6) + 0 as added, round(v[2] - qv[2], 6) + 0 as subtracted, round(v[3] * qv[3], 6) + 0 as multiplied from e, q")
 def vector_arith(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     v = D.vector(query_vector(df))
@@ -153,7 +153,7 @@ def vector_arith(spark, sf_dir):
     return rows.select("vec_id", F.round(F.get("a", F.lit(0)), 6).alias("added"), F.round(F.get("s", F.lit(1)), 6).alias("subtracted"), F.round(F.get("m", F.lit(2)), 6).alias("multiplied"))
 
 
-@query("select vec_id, cast(list_sum(list_transform(range(1, 65), lambda i: case when (v[i] > 0) <> (qv[i] > 0) then 1 else 0 end)) as bigint) as hamming, cast(-list_sum(list_transform(range(1, 65), lambda i: case when v[i] > 0 and qv[i] > 0 then 1 else 0 end)) as bigint) as dot, round(1 - list_sum(list_transform(range(1, 65), lambda i: case when v[i] > 0 and qv[i] > 0 then 1 else 0 end)) / list_sum(list_transform(range(1, 65), lambda i: case when v[i] > 0 or qv[i] > 0 then 1 else 0 end)), 6) as jaccard from e, q")
+@query("select vec_id, cast(list_sum(list_transform(range(1, 65), lambda i: case when (v[i] > 0) <> (qv[i] > 0) then 1 else 0 end)) as bigint) as hamming, cast(-list_sum(list_transform(range(1, 65), lambda i: case when v[i] > 0 and qv[i] > 0 then 1 else 0 end)) as bigint) as dot, round(1 - list_sum(list_transform(range(1, 65), lambda i: case when v[i] > 0 and qv[i] > 0 then 1 else 0 end)) / list_sum(list_transform(range(1, 65), lambda i: case when v[i] > 0 or qv[i] > 0 then 1 else 0 end)), 6) + 0 as jaccard from e, q")
 def bit_distances(spark, sf_dir):
     """Distances of sign bits, packed into one 64-bit word."""
     df = embeddings(spark, sf_dir)
@@ -165,7 +165,7 @@ def bit_distances(spark, sf_dir):
     return rows.select("vec_id", D.hamming("w", "q").cast("long").alias("hamming"), D.bit_dot("w", "q").cast("long").alias("dot"), F.round(D.jaccard("w", "q"), 6).alias("jaccard"))
 
 
-@query("select vec_id, round(list_sum(list_transform(range(1, 65), lambda i: case when v[i] > 0.1 and qv[i] > 0.1 then v[i] * qv[i] else 0 end)), 6) as dot, round(list_sum(list_transform(range(1, 65), lambda i: (case when v[i] > 0.1 then v[i] else 0 end - case when qv[i] > 0.1 then qv[i] else 0 end) ** 2)), 6) as l2_squared from e, q")
+@query("select vec_id, round(list_sum(list_transform(range(1, 65), lambda i: case when v[i] > 0.1 and qv[i] > 0.1 then v[i] * qv[i] else 0 end)), 6) + 0 as dot, round(list_sum(list_transform(range(1, 65), lambda i: (case when v[i] > 0.1 then v[i] else 0 end - case when qv[i] > 0.1 then qv[i] else 0 end) ** 2)), 6) + 0 as l2_squared from e, q")
 def sparse_distances(spark, sf_dir):
     """Sparse vectors of the components above 0.1."""
     df = embeddings(spark, sf_dir)
@@ -180,13 +180,13 @@ def sparse_distances(spark, sf_dir):
 
 # MaxSim
 
-@query("select doc_id, round(d, 6) as distance from score order by d, doc_id limit 10")
+@query("select doc_id, round(d, 6) + 0 as distance from score order by d, doc_id limit 10")
 def maxsim_topk(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     return _rounded(M.maxsim_top_k(documents(df), query_tensor(df), 10).select(F.col("id").alias("doc_id"), "distance"), "distance")
 
 
-@query("select doc_id, round(d, 6) as distance from score")
+@query("select doc_id, round(d, 6) + 0 as distance from score")
 def maxsim_pair_scores(spark, sf_dir):
     """As a Catalyst expression over every document."""
     df = embeddings(spark, sf_dir)
@@ -194,13 +194,13 @@ def maxsim_pair_scores(spark, sf_dir):
     return documents(df).select("doc_id", F.round(M.maxsim_distance("tokens", tensor), 6).alias("distance"))
 
 
-@query("select doc_id as public_id, round(-d, 6) as similarity from score where doc_id in (1, 3, 5, 7, 11, 1000000) order by d, doc_id limit 4")
+@query("select doc_id as public_id, round(-d, 6) + 0 as similarity from score where doc_id in (1, 3, 5, 7, 11, 1000000) order by d, doc_id limit 4")
 def maxsim_rerank_ids(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     return _rounded(M.rerank_ids(documents(df), query_tensor(df), [1, 3, 5, 7, 11, 1000000], 4), "similarity")
 
 
-@query("select doc_id, round(d, 6) as distance from score order by d, doc_id limit 2")
+@query("select doc_id, round(d, 6) + 0 as distance from score order by d, doc_id limit 2")
 def maxsim_candidate_limit(spark, sf_dir):
     """A candidate limit below the limit cuts the result; refining every token makes the candidates exact."""
     df = embeddings(spark, sf_dir)
@@ -243,7 +243,7 @@ def _tensors(spark, sf_dir):
     return df, docs, store, registry
 
 
-@query("select doc_id as public_id, round(-d, 5) as similarity from score where doc_id in (0, 2, 4, 6, 8, 10) order by d, doc_id limit 3")
+@query("select doc_id as public_id, round(-d, 5) + 0 as similarity from score where doc_id in (0, 2, 4, 6, 8, 10) order by d, doc_id limit 3")
 def tensor_source_rerank(spark, sf_dir):
     """Exact scores of external tensors of a registered source."""
     df, _, store, registry = _tensors(spark, sf_dir)
@@ -266,7 +266,7 @@ def tensor_resolve(spark, sf_dir):
 
 # Relational composition
 
-@query("select label, cast(count(*) as bigint) as n, round(avg(v[1]), 6) as first, round(avg(v[64]), 6) as last from e group by label")
+@query("select label, cast(count(*) as bigint) as n, round(avg(v[1]), 6) + 0 as first, round(avg(v[64]), 6) + 0 as last from e group by label")
 def centroid_means(spark, sf_dir):
     df = embeddings(spark, sf_dir).where("embedding is not null")
     return _rounded(df.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.get("embedding", F.lit(0)).cast("double")).alias("first"), F.avg(F.get("embedding", F.lit(63)).cast("double")).alias("last")), "first", "last")
@@ -291,7 +291,7 @@ def nearest_centroid_assign(spark, sf_dir):
 
 
 _QUERIES["nearest_centroid_assign"] = nearest_centroid_assign
-_ORACLE["nearest_centroid_assign"] = _COMMON.rstrip() + f", {_CENTROIDS} select vec_id, cast(c_label as integer) as c_label, round(d, 6) as distance from (select vec_id, c_label, d, row_number() over (partition by vec_id order by d, c_label) as r from (select vec_id, c_label, list_distance(v, cv) as d from e, c)) where r = 1"
+_ORACLE["nearest_centroid_assign"] = _COMMON.rstrip() + f", {_CENTROIDS} select vec_id, cast(c_label as integer) as c_label, round(d, 6) + 0 as distance from (select vec_id, c_label, d, row_number() over (partition by vec_id order by d, c_label) as r from (select vec_id, c_label, list_distance(v, cv) as d from e, c)) where r = 1"
 
 
 @query(f"select e.label, cast(count(*) as bigint) as n, cast(sum(l.quality) as bigint) as quality from e, q, labels l where l.doc_id = e.vec_id and {_D['l2']} < 1.4 group by e.label")
@@ -317,14 +317,14 @@ def _ivf(spark, sf_dir, **options):
     return df, IvfIndex.build(df, scratch_path(spark, "ivf"), IvfOptions(**options))
 
 
-@query(f"select vec_id as id, round(d, 6) as distance from (select vec_id, {_D['l2']} as d from e, q) order by d, vec_id limit 10")
+@query(f"select vec_id as id, round(d, 6) + 0 as distance from (select vec_id, {_D['l2']} as d from e, q) order by d, vec_id limit 10")
 def ivf_full_probe_topk(spark, sf_dir):
     """All lists probed and every row reranked: the exact answer."""
     df, index = _ivf(spark, sf_dir, lists=(8, 32))
     return _rounded(index.search(query_vector(df), 10, [8, 32], bounds=False), "distance")
 
 
-@query(f"select vec_id as id, round(d, 6) as distance from (select vec_id, {_D['cosine']} as d from e, q) order by d, vec_id limit 10")
+@query(f"select vec_id as id, round(d, 6) + 0 as distance from (select vec_id, {_D['cosine']} as d from e, q) order by d, vec_id limit 10")
 def rerank_in_table_topk(spark, sf_dir):
     """Exact vectors come from the base table."""
     df, index = _ivf(spark, sf_dir, metric="cosine", rerank_in_table=True)
@@ -332,19 +332,19 @@ def rerank_in_table_topk(spark, sf_dir):
     return _rounded(index.search(query_vector(df), 10, bounds=False, table=unit), "distance")
 
 
-@query(f"select vec_id as id, round(d, 6) as distance from (select vec_id, {_D['l2']} as d from e, q where label = 2) order by d, vec_id limit 10")
+@query(f"select vec_id as id, round(d, 6) + 0 as distance from (select vec_id, {_D['l2']} as d from e, q where label = 2) order by d, vec_id limit 10")
 def ivf_prefilter_topk(spark, sf_dir):
     df, index = _ivf(spark, sf_dir, lists=(16,))
     return _rounded(index.search(query_vector(df), 10, [16], bounds=False, where=df.where("label = 2").select("vec_id")), "distance")
 
 
-@query(f"select vec_id as id, round(d, 6) as distance from (select vec_id, {_D['l2']} as d from e, q) where d < 1.3 order by d, vec_id limit 1000000")
+@query(f"select vec_id as id, round(d, 6) + 0 as distance from (select vec_id, {_D['l2']} as d from e, q) where d < 1.3 order by d, vec_id limit 1000000")
 def ivf_range(spark, sf_dir):
     df, index = _ivf(spark, sf_dir, lists=(16,))
     return _rounded(index.search(query_vector(df), 1000000, [16], radius=1.3), "distance")
 
 
-@query(f"select vec_id as id, round(d, 6) as distance from (select vec_id, {_D['l2']} as d from e, q where vec_id % 3 <> 1) order by d, vec_id limit 10")
+@query(f"select vec_id as id, round(d, 6) + 0 as distance from (select vec_id, {_D['l2']} as d from e, q where vec_id % 3 <> 1) order by d, vec_id limit 10")
 def ivf_delete_vacuum(spark, sf_dir):
     """Insert in two parts, delete a third, vacuum, search."""
     df = embeddings(spark, sf_dir)
@@ -354,7 +354,7 @@ def ivf_delete_vacuum(spark, sf_dir):
     return _rounded(index.vacuum(scratch_path(spark, "ivf")).search(query_vector(df), 10, [8], bounds=False), "distance")
 
 
-@query(f"select vec_id as id, round(d, 6) as distance from (select vec_id, {_D['l2']} as d from e, q) order by d, vec_id limit 10")
+@query(f"select vec_id as id, round(d, 6) + 0 as distance from (select vec_id, {_D['l2']} as d from e, q) order by d, vec_id limit 10")
 def ivf_external_centroids(spark, sf_dir):
     """Label means as the centroid table."""
     df = embeddings(spark, sf_dir)
