@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spherion.functions import kmeans, rabitq
-from spherion.functions.kernels import distances, half, least, matrix
+from spherion.functions.kernels import distances, least, matrix
 
 MAX_DIMENSION, MAX_LEVELS, EPSILON = 60000, 8, 1.9
 
