@@ -14,6 +14,8 @@ from spherion.functions import kmeans, rabitq
 from spherion.functions.kernels import distances, least, matrix
 
 MAX_DIMENSION, MAX_LEVELS, EPSILON = 60000, 8, 1.9
+#: Bytes of the sample that the driver clusters at most, and tasks that rewrite one list (a list may hold most rows).
+SAMPLE_BYTES, LIST_TASKS = 1 << 30, 8
 
 
 @dataclass(frozen=True)
@@ -119,7 +121,7 @@ class IvfIndex:
         if centroids is not None:
             levels = external_centroids(centroids, dim)
         elif options.lists:
-            n = options.lists[-1] * options.sampling_factor
+            n = min(options.lists[-1] * options.sampling_factor, max(SAMPLE_BYTES // (8 * dim), 1))
             sample = rows.orderBy(F.xxhash64("id"), "id").limit(n).select("vec").toArrow()
             _, x = matrix(sample.column(0), dim)
             x = _unit(x) if options.metric == "cosine" else x
@@ -188,7 +190,7 @@ class IvfIndex:
 
     def vacuum(self, path: str) -> "IvfIndex":
         """A compacted copy without what is deleted."""
-        self.rows().repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+        self.rows().repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(LIST_TASKS))).write.mode("overwrite").partitionBy("list_id").parquet(path)
         return IvfIndex(self.spark, path, self.options, self.dim, self.levels)
 
     # Search
