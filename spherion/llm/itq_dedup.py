@@ -18,7 +18,7 @@ from spherion.llm.pairs import BOTH, PROBE, expand, forest, partner_ranges, spre
 from spherion.llm.shared import written
 
 THRESHOLD = 0.95
-BITS, TABLES, RADIUS = 64, 4, 24
+BITS, TABLES, RADIUS = 64, 4, 16
 #: Vectors that the rotation is learnt from at most, and rounds of learning.
 SAMPLE, ROUNDS = 4096, 50
 #: Codes of a bucket beyond which it is dealt over a grid of cells; pairs compared at once by code and by vector.
