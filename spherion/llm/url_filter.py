@@ -22,6 +22,8 @@ BAD_WORDS = ("adult", "casino", "porn", "xxx", "viagra", "betting", "gambling",
 DEPTH = 6
 #: A node with more values than FANOUT, or with at least SINGLES values of which most occur once, is a wildcard.
 FANOUT, SINGLES = 32, 8
+#: Parts in which the paths of one node meet its verdict, so that a host with most of the pages is not one task.
+SALTS = 16
 #: Smoothing towards PRIOR with the weight of PSEUDO labels; the share beyond which a template goes; significance.
 PRIOR, PSEUDO, PURITY, Z = 0.1, 4.0, 0.6, 1.96
 
@@ -63,7 +65,9 @@ def path_templates(spark: SparkSession, paths: DataFrame) -> DataFrame:
         values = tree.where(part.isNotNull()).groupBy("host", "node", part.alias("part")).agg(F.sum("n").alias("n"))
         nodes = values.groupBy("host", "node").agg(F.count("*").alias("fan"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
         wild = nodes.where((F.col("fan") > FANOUT) | ((F.col("fan") >= SINGLES) & (2 * F.col("single") > F.col("fan")))).select(F.col("host").alias("h"), F.col("node").alias("o"), F.lit("*").alias("star"))
-        grown = tree.join(wild, (tree["host"] == wild["h"]) & (tree["node"] == wild["o"]), "left")
+        wild = wild.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = tree.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+        grown = salted.join(wild, (salted["host"] == wild["h"]) & (salted["node"] == wild["o"]) & (salted["salt"] == wild["s"]), "left")
         node = F.when(part.isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.coalesce("star", part)))
         tree = written(spark, grown.select("host", "path", "n", "labelled", "bad", "parts", "tail", node.alias("node")), "paths")
     return tree.select("host", "path", "n", "labelled", "bad", F.concat("node", "tail").alias("template"))
@@ -101,6 +105,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=
     paths = labelled.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("y").alias("labelled"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad"))
     templates = path_templates(spark, paths)
     verdicts = template_verdicts(templates).select("host", "template", F.col("verdict").alias("learnt"))
-    judged = templates.select("host", "path", "template").join(verdicts, ["host", "template"]).toDF("h", "template", "p", "learnt")
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt")
+    spread = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = templates.select("host", "template", salt, "path").join(spread, ["host", "template", "salt"]).select(F.col("host").alias("h"), "template", F.col("path").alias("p"), "learnt")
     out = given.join(judged, (given["host"] == judged["h"]) & (given["path"] == judged["p"]), "left").withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "learnt").alias("verdict"), "template")
