@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,22 @@ def input_bytes(df: DataFrame, text: str) -> int:
     return (df.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0) // 2
 
 
-def partitions_for(spark: SparkSession, size: int, each: int = 16 << 20) -> int:
+#: Partitions at most; beyond, each grows with the input, and executors' memory must.
+MOST_PARTITIONS = 100_000
+
+
+def partitions_for(spark: SparkSession, size: int, each: int) -> int:
     """Partitions so that each holds about ``each`` of ``size`` input bytes; at least the session's setting."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), MOST_PARTITIONS))
+
+
+def partition_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions an integer that ``repartition(n, key)`` deals to it, so that n keys fill all partitions evenly."""
+    tried = spark.range(30 * n + 100).select(F.col("id").cast("int").alias("key"))
+    found = tried.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("p")).agg(F.min("key").alias("key")).toPandas()
+    keys = np.arange(n, dtype=np.int32)
+    keys[found["p"].to_numpy()] = found["key"].to_numpy()
+    return keys
 
 
 def same(left: Column, right: Column) -> Column:

@@ -17,6 +17,8 @@ Hashes only propose; the FM-index over the words themselves decides.
 from __future__ import annotations
 
 import hashlib
+import pickle
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 
 from spherion.llm.fmindex import FmIndex
 from spherion.llm.pairs import expand
-from spherion.llm.shared import input_bytes, partitions_for, written
+from spherion.llm.shared import input_bytes, partition_keys, partitions_for
 from spherion.llm.textkernel import BASE, blocks, mixed, ngram_hashes, sliding_min, texts_of, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 5
 #: Bytes of text a task looks at together, and of input per shard.
-BLOCK, SHARD = 8 << 20, 8 << 20
+BLOCK, SHARD = 4 << 20, 8 << 20
+#: How hard what is shuffled is compressed.
+LEVEL = 9
 
 
 def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple:
@@ -55,13 +59,17 @@ def _usable(batch: pa.RecordBatch) -> np.ndarray:
     return ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
 
 
-def _minimiser_batches(buckets: int):
+def _bucket(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[hashes % np.uint64(len(keys))]
+
+
+def _minimiser_batches(keys: np.ndarray):
     """Rows (bucket, pairs): minimisers and row keys; a minimiser of several rows of a block goes once, with two of them."""
 
     def run(batches):
         for batch in batches:
             raw, offsets = texts_of(batch.column(2))
-            usable, keys = _usable(batch), batch.column(1).to_numpy().view(np.uint32)
+            usable, row = _usable(batch), batch.column(1).to_numpy().view(np.uint32)
             for a, b in blocks(offsets, BLOCK):
                 *_, position, text, least = windows(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 at = _runs(position, text, least)
@@ -75,12 +83,12 @@ def _minimiser_batches(buckets: int):
                 text, least = text[new], least[new]
                 group = np.cumsum(np.r_[True, least[1:] != least[:-1]][: len(least)]) - 1
                 size = np.bincount(group, minlength=0)
-                key = keys[a + text]
+                key = row[a + text]
                 shared = size[group] > 1 if len(group) else np.zeros(0, bool)
                 yield _known_rows(key[shared], least[shared])
                 place = np.arange(len(group)) - (np.cumsum(size) - size)[group] if len(group) else group
                 key, least = key[place < 2], least[place < 2]
-                bucket = (least % np.uint64(buckets)).astype(np.int32)
+                bucket = _bucket(least, keys)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else np.zeros(0, np.int64)
                 pairs = [least[x].tobytes() + key[x].tobytes() for x in np.split(order, cut[1:])] if len(order) else []
@@ -90,7 +98,7 @@ def _minimiser_batches(buckets: int):
         """Minimisers that rows are known to share, cut into pieces and dealt at random."""
         cut = range(0, len(key), 4096)
         pairs = [least[c : c + 4096].tobytes() + key[c : c + 4096].tobytes() for c in cut]
-        bucket = np.array([int(least[c] % np.uint64(buckets)) for c in cut], np.int32)
+        bucket = _bucket(least[:: 4096], keys)
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.zeros(len(pairs), np.int32)), pa.array(pairs, pa.binary())], ["bucket", "kind", "pairs"])
 
     return run
@@ -124,16 +132,17 @@ def _shared_batches(batches):
         yield rows(key[twice], least[twice])
 
 
-#: What step 2 writes: texts without candidates are done; of others the text and what is settled; runs for the shards.
-DONE, TEXT, RUNS = 0, 1, 2
-_STEP2 = "kind int, bucket int, doc_id long, th long, n_words long, sha string, data binary, settled binary"
+#: What shards find, and what step 2 writes: texts without candidates are done; others packed by bucket with what is settled; runs for the shards.
+FOUND, DONE, TEXT, RUNS = 0, 1, 2, 3
+_STEP2_NAMES = ["kind", "bucket", "doc_id", "th", "n_words", "sha", "data"]
+_STEP2 = "kind int, bucket int, doc_id long, th long, n_words long, sha string, data binary"
 
 
 def _digest(words: bytes) -> str:
     return hashlib.sha256(words).hexdigest()
 
 
-def _candidate_batches(buckets: int):
+def _candidate_batches(keys: np.ndarray):
     def run(batches):
         for batch in batches:
             raw, offsets = texts_of(batch.column(2))
@@ -143,6 +152,7 @@ def _candidate_batches(buckets: int):
     def _step2(batch, raw, offsets):
         starts, ends, first, position, text, least = windows(raw, offsets)
         doc_ids, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        home = _bucket(batch.column(1).to_numpy().view(np.uint64), keys).tolist()
         # The words, one space after each.
         size = ends - starts
         at = np.cumsum(size + 1) - (size + 1)
@@ -167,7 +177,7 @@ def _candidate_batches(buckets: int):
         run = _runs(position, text, least)
         stop = np.r_[run[1:], len(position)][: len(run)]
         words, owner, held, settled = {}, defaultdict(list), text[run].tolist(), defaultdict(list)
-        begin, finish, bucket = position[run].tolist(), (position[stop - 1] + WINDOW).tolist() if len(run) else [], (least[run] % np.uint64(buckets)).tolist()
+        begin, finish, bucket = position[run].tolist(), (position[stop - 1] + WINDOW).tolist() if len(run) else [], _bucket(least[run], keys).tolist()
         for k, (t, s, e) in enumerate(zip(held, begin, finish)):
             content = flat[at[s] : to[e - 1]]
             owner[content].append(k)
@@ -189,55 +199,111 @@ def _candidate_batches(buckets: int):
                 rows.append(ths[t])
                 place.append(int(begin[k] - first[t]))
         out = []
-        live = set(held)
+        live, texts = set(held), defaultdict(list)
         n_words = np.diff(first).tolist()
         for t in range(len(doc_ids)):
             own = flat[at[first[t]] : to[first[t + 1] - 1]] if n_words[t] else b""
             if t in live:
-                done = np.concatenate([np.arange(s, s + c, dtype=np.int32) for s, c in settled[t]]) if settled[t] else np.zeros(0, np.int32)
-                out.append((TEXT, 0, doc_ids[t], ths[t], n_words[t], None, pa.compress(own, "zstd", asbytes=True), done.tobytes()))
+                ranges: list[list[int]] = []
+                for at_word, number in sorted(settled[t]):
+                    if ranges and sum(ranges[-1]) == at_word:
+                        ranges[-1][1] += number
+                    else:
+                        ranges.append([at_word, number])
+                texts[home[t]].append((doc_ids[t], ths[t], n_words[t], np.array(ranges, np.int32).reshape(-1, 2).T, own))
             else:
-                out.append((DONE, 0, doc_ids[t], ths[t], n_words[t], _digest(own), None, None))
+                out.append((DONE, home[t], doc_ids[t], ths[t], n_words[t], _digest(own), None))
+        for key, rows in texts.items():  # together they compress well
+            out.append((TEXT, key, None, None, None, None, _squeezed(pickle.dumps(rows))))
         for key, (contents, *columns) in sent.items():
             body = b"\n".join(contents)
             data = np.array([len(columns[0]), len(body)], np.int64).tobytes() + b"".join(np.array(c, np.int64).tobytes() for c in columns) + body
-            out.append((RUNS, key, None, None, None, None, np.int64(len(data)).tobytes() + pa.compress(data, "zstd", asbytes=True), None))
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-        names = ["kind", "bucket", "doc_id", "th", "n_words", "sha", "data", "settled"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            out.append((RUNS, key, None, None, None, None, _squeezed(data)))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], _STEP2_NAMES)
 
     return run
 
 
-def _shard_batches(batches):
-    """(doc_id, th, at): windows that begin in a smaller doc_id too, by the FM-index of the shard."""
+def _shard_batches(keys: np.ndarray):
+    """Passes texts on; adds rows of kind FOUND with the windows that begin in a smaller doc_id too, packed for a bucket of texts."""
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            runs = batch.column(0).to_numpy() == RUNS
+            held += batch.column(6).filter(pa.array(runs)).to_pylist()
+            yield batch.filter(pa.array(~runs))
+        found = _shard_windows(held)
+        if found is not None and len(found[0]):
+            docs, rows, where = found
+            bucket = _bucket(rows.view(np.uint64), keys)
+            order = np.lexsort((where, docs, rows, bucket))
+            docs, rows, where, bucket = docs[order], rows[order], where[order], bucket[order]
+            cut = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
+            data = [_packed(docs[x], rows[x], where[x]) for x in np.split(np.arange(len(rows)), cut[1:])]
+            n = len(cut)
+            none = [pa.nulls(n, pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, FOUND, np.int32)), pa.array(bucket[cut]), *none, pa.nulls(n, pa.string()), pa.array(data, pa.binary())], _STEP2_NAMES)
+
+    return run
+
+
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
+
+
+def _restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _packed(docs: np.ndarray, rows: np.ndarray, where: np.ndarray) -> bytes:
+    """Windows (sorted by rows, docs, where) as ranges [first, number), grouped by (docs, rows)."""
+    apart = (np.diff(docs) != 0) | (np.diff(rows) != 0)
+    group = np.flatnonzero(np.r_[True, apart])
+    first = np.flatnonzero(np.r_[True, apart | (np.diff(where) > 1)])
+    last = np.r_[first[1:], len(where)] - 1
+    ranges = np.stack([where[first], where[last] - where[first] + 1]).astype(np.int32)
+    count = np.diff(np.r_[np.searchsorted(first, group), len(first)])
+    body = np.int64(len(group)).tobytes() + docs[group].tobytes() + rows[group].tobytes() + count.tobytes() + ranges.tobytes()
+    return _squeezed(body)
+
+
+def _unpacked(data: bytes):
+    """(doc, row, ranges) of what ``_packed`` made."""
+    body = _restored(data)
+    n = int.from_bytes(body[:8], "little")
+    docs, rows, count = np.frombuffer(body, np.int64, 3 * n, 8).reshape(3, n)
+    ranges = np.frombuffer(body, np.int32, -1, 8 + 24 * n).reshape(2, -1)
+    return zip(docs.tolist(), rows.tolist(), np.split(ranges, np.cumsum(count)[:-1], axis=1))
+
+
+def _shard_windows(held: list[bytes]):
+    """(docs, rows, windows) of removed windows, or None for an empty shard."""
     number: dict[bytes, int] = {}
     columns = []
-    for batch in batches:
-        for data in batch.column(0):
-            raw = data.as_py()
-            data = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
-            n, _ = np.frombuffer(data, np.int64, 2)
-            which, docs, rows, place = np.frombuffer(data, np.int64, 4 * n, 16).reshape(4, n)
-            own = np.array([number.setdefault(c, len(number)) for c in data[16 + 32 * n :].split(b"\n")], np.int64)
-            columns.append((own[which], docs, rows, place))
+    while held:
+        data = _restored(held.pop())
+        n, _ = np.frombuffer(data, np.int64, 2)
+        which, docs, rows, place = np.frombuffer(data, np.int64, 4 * n, 16).reshape(4, n)
+        own = np.array([number.setdefault(c, len(number)) for c in data[16 + 32 * n :].split(b"\n")], np.int64)
+        columns.append((own[which], docs, rows, place))
     if not columns:
-        return
+        return None
     which, docs, rows, place = (np.concatenate(c) for c in zip(*columns))
     smallest = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(smallest, which, docs)
     # The text of the shard: runs, each followed by the separator.
     vocabulary: dict[bytes, int] = {}
     size = np.zeros(len(number), np.int64)
-    symbols = []
+    symbols = array("i")
     for k, content in enumerate(number):
         own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in content.split(b" ")]
         size[k] = len(own)
         own.append(0)
         symbols.extend(own)
     number.clear()
-    text = np.array(symbols, np.int64)
-    symbols.clear()
+    text = np.frombuffer(symbols, np.int32)
     begin = np.cumsum(size + 1) - (size + 1)
     owner = np.repeat(np.arange(len(size)), size + 1)
     index = FmIndex(text, len(vocabulary) + 1, WINDOW)
@@ -255,40 +321,40 @@ def _shard_batches(batches):
         held = np.append(smallest[owner[index.suffixes]], np.iinfo(np.int64).max)
         lowest = np.minimum.reduceat(held, np.stack([spans, stop], 1).ravel())[::2]
         least[several] = lowest[back]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
     for i, j in expand(base[which], (base + count)[which], 1 << 20):
         earlier = least[j] < docs[i]
         i, j = i[earlier], j[earlier]
-        where = (place[i] + j - base[which[i]]).astype(np.int32)
-        order = np.lexsort((rows[i], docs[i]))
-        i, where = i[order], where[order]
-        cut = np.flatnonzero(np.r_[True, (np.diff(docs[i]) != 0) | (np.diff(rows[i]) != 0)]) if len(i) else np.zeros(0, np.int64)
-        at = [x.tobytes() for x in np.split(where, cut[1:])] if len(i) else []
-        yield pa.RecordBatch.from_arrays([pa.array(docs[i][cut]), pa.array(rows[i][cut]), pa.array(at, pa.binary())], ["doc_id", "th", "at"])
+        out.append((docs[i], rows[i], (place[i] + j - base[which[i]]).astype(np.int32)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _kept_batches(batches):
+    """Found windows (kind FOUND) come first in a partition, then the texts: what is done, and what they are for."""
+    found = defaultdict(list)
     for batch in batches:
         out = []
-        for doc, n, data, settled, found in zip(*(c.to_pylist() for c in batch.columns)):
-            gone = np.zeros(n + 1, np.int32)
-            at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in (settled, *(found or ()))]))
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + WINDOW, -1)
-            gone = np.cumsum(gone[:-1]) > 0
-            words = _decompressed(data)
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-            out.append((doc, n, int(gone.sum()), _digest(kept), kept))
+        for kind, _, doc, _, n, sha, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == DONE:
+                out.append((doc, n, 0, sha, None))
+                continue
+            if kind == FOUND:
+                for d, r, where in _unpacked(data):
+                    found[d, r].append(where)
+                continue
+            for doc, th, n, settled, own in pickle.loads(_restored(data)):
+                first, number = np.concatenate([settled, *found.get((doc, th), ())], axis=1)
+                gone = np.zeros(n + 1, np.int32)
+                np.add.at(gone, first, 1)
+                np.add.at(gone, first + number + (WINDOW - 1), -1)
+                gone = np.cumsum(gone[:-1]) > 0
+                kept = b" ".join([w for w, g in zip(own.split(b" "), gone.tolist()) if not g])
+                out.append((doc, n, int(gone.sum()), _digest(kept), kept))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def _decompressed(data: bytes) -> list[bytes]:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompressobj().decompress(data).split(b" ")
-
-
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept): a row per row of ``docs``.
 
@@ -297,20 +363,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     don't affect each other; an empty table gives an empty table; other columns are not read.
     """
     shards = partitions_for(spark, input_bytes(docs, "text"), SHARD)
-    buckets = 4 * shards
+    keys = partition_keys(spark, shards)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     given = given.select("doc_id", F.xxhash64("doc_id", "text").alias("th"), "text")
     key = F.shiftright("th", 32).cast("int")
-    listed = given.select("doc_id", key.alias("key"), "text").mapInArrow(_minimiser_batches(buckets), "bucket int, kind int, pairs binary")
+    listed = given.select("doc_id", key.alias("key"), "text").mapInArrow(_minimiser_batches(keys), "bucket int, kind int, pairs binary")
     shared = listed.repartition(shards, "bucket").select("kind", "pairs").mapInArrow(_shared_batches, "key int, least long")
     lists = shared.groupBy("key").agg(F.collect_set("least").alias("lists")).withColumnRenamed("key", "k")
     joined = given.join(lists, key == lists["k"], "left").select("doc_id", "th", "text", "lists")
-    step2 = written(spark, joined.mapInArrow(_candidate_batches(buckets), _STEP2), "passages")
-    runs = step2.where(F.col("kind") == RUNS).select("bucket", "data").repartition(shards, "bucket").select("data")
-    found = runs.mapInArrow(_shard_batches, "doc_id long, th long, at binary")
-    found = found.groupBy("doc_id", "th").agg(F.collect_list("at").alias("found")).toDF("d", "h", "found")
-    texts = step2.where(F.col("kind") == TEXT)
-    texts = texts.join(found, (texts["doc_id"] == found["d"]) & (texts["th"] == found["h"]), "left")
-    kept = texts.select("doc_id", "n_words", "data", "settled", "found").mapInArrow(_kept_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    done = step2.where(F.col("kind") == DONE).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    return done.unionByName(kept)
+    step2 = joined.mapInArrow(_candidate_batches(keys), _STEP2).repartition(shards, "bucket")
+    step3 = step2.mapInArrow(_shard_batches(keys), _STEP2).repartition(shards, "bucket").sortWithinPartitions("kind")
+    return step3.mapInArrow(_kept_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
