@@ -112,16 +112,18 @@ def _long_leaks(texts: DataFrame, given: DataFrame, lengths: list[int], small) -
     # Windows of m shingles whose first known sample is this one (the sample before it has those that hold it too).
     p, m = F.col("p"), F.col("m")
     first = F.greatest(F.lit(1), F.when(F.col("mb").isNotNull(), p - (stride - 1)).otherwise(p - m + 1))
-    ends = F.least(p, last - m + 1)
-    hit = hit.select("doc_id", "w", "m", first.alias("lo"), ends.alias("hi")).where("hi >= lo")
-    around = hit.select("doc_id", "m", "lo", "hi", F.transform(F.sequence(F.col("lo"), F.col("hi") + m - 1), lambda i: shingle_at(F.col("w"), i)).alias("near"))
-    window = around.select("doc_id", "m", "lo", "near", F.explode(F.sequence("lo", "hi")).alias("start"))
-    window = window.select("doc_id", "m", "start", F.slice("near", F.col("start") - F.col("lo") + 1, F.col("m")).alias("wh"))
-    window = window.withColumn("fp", simhash(F.col("wh"), F.col("m"), lane))
+    # A text of fewer shingles, but enough for the similarity, is its own one window.
+    ends = F.when(last < m, F.lit(1)).otherwise(F.least(p, last - m + 1))
+    first = F.when(last < m, F.lit(1)).otherwise(first)
+    hit = hit.where((last >= m) | ((last >= SIMILARITY * m) & F.col("mb").isNull())).select("doc_id", "w", "m", F.least(m, last).alias("held"), first.alias("lo"), ends.alias("hi")).where("hi >= lo")
+    around = hit.select("doc_id", "m", "held", "lo", "hi", F.transform(F.sequence(F.col("lo"), F.col("hi") + F.col("held") - 1), lambda i: shingle_at(F.col("w"), i)).alias("near"))
+    window = around.select("doc_id", "m", "held", "lo", "near", F.explode(F.sequence("lo", "hi")).alias("start"))
+    window = window.select("doc_id", "m", "held", "start", F.slice("near", F.col("start") - F.col("lo") + 1, F.col("held")).alias("wh"))
+    window = window.withColumn("fp", simhash(F.col("wh"), F.col("held"), lane))
 
     # Meet in blocks; a pair counts in the first block where it is within the ball.
     blocks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(F.col("fp"), k).alias("v")) for k in range(BLOCKS)]))
-    window = window.select("doc_id", "m", "start", "wh", "fp", blocks.alias("b")).select("*", F.col("b.k").alias("k"), F.col("b.v").alias("v")).drop("b")
+    window = window.select("doc_id", "m", "held", "start", "wh", "fp", blocks.alias("b")).select("*", F.col("b.k").alias("k"), F.col("b.v").alias("v")).drop("b")
     item = item.withColumn("ifp", simhash(F.col("ih"), F.col("m"), lane))
     ball = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(F.col("ifp"), k).bitwiseXOR(F.lit(x)).alias("v")) for k in range(BLOCKS) for x in (0, *(1 << i for i in range(BLOCK_BITS)))]))
     item = item.select("item_id", F.col("m").alias("im"), numbered(F.col("ih")).alias("ih"), "ifp", ball.alias("b")).select("item_id", "im", "ih", "ifp", F.col("b.k").alias("ik"), F.col("b.v").alias("iv"))
@@ -131,7 +133,7 @@ def _long_leaks(texts: DataFrame, given: DataFrame, lengths: list[int], small) -
         pair = pair.where((F.col("k") <= k) | (F.bit_count(block(differ, k)) > 1))
     pair = pair.where(F.bit_count(differ) <= RADIUS)
     shared = F.size(F.array_intersect(numbered(F.col("wh")), F.col("ih")))
-    pair = pair.select("doc_id", "item_id", "start", (F.col("m") + (SHINGLE - 1)).alias("n_words"), (shared / (2 * F.col("m") - shared)).alias("similarity"))
+    pair = pair.select("doc_id", "item_id", "start", (F.col("held") + (SHINGLE - 1)).alias("n_words"), (shared / (F.col("m") + F.col("held") - shared)).alias("similarity"))
     return pair.where(F.col("similarity") >= SIMILARITY)
 
 
