@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata
 from array import array
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 NONE = 1 << 30
 #: Chunks remembered with their ids, twice over (a younger and an older half), and the longest that is.
 REMEMBERED, LONGEST = 1 << 18, 64
+#: Bytes of a word up to which its ranks are one flat array.
+SHORT = 192
 #: Below this, every Unicode version assigns the same letters.
 SETTLED = "\u0370"
 #: Str.split() cuts at these, the vocabulary's white space doesn't hold them.
@@ -81,6 +84,8 @@ class WordBpe:
     def encode_word(self, word: str) -> list[int]:
         """Parts, and the ranks of adjacent parts, in two flat lists: the least rank goes first, its boundary is deleted, its neighbours' ranks are looked up anew."""
         raw = word.encode()
+        if len(raw) > SHORT:
+            return self._encode_long(raw)
         ids, rank = self.byte_id, self.rank.get
         parts = [ids[b] for b in raw]
         parts[-1] = self.last_id[raw[-1]]
@@ -98,6 +103,35 @@ class WordBpe:
                 ranks[at] = rank(new << 32 | parts[at + 1], NONE)
         return parts
 
+    def _encode_long(self, raw: bytes) -> list[int]:
+        """The same merges for a long word, where scanning for the least rank each time would be quadratic: a heap of (rank, boundary) over linked parts."""
+        rank, merged, n = self.rank.get, self.merged, len(raw)
+        parts = [self.byte_id[b] for b in raw]
+        parts[-1] = self.last_id[raw[-1]]
+        ranks = [rank(a << 32 | b, NONE) for a, b in zip(parts, parts[1:])] + [NONE]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | at for at, r in enumerate(ranks) if r != NONE]
+        heapify(heap)
+        while heap:
+            least, at = divmod(heappop(heap), 1 << 32)
+            if ranks[at] != least:
+                continue  # an end of this boundary has been merged since
+            gone = after[at]
+            parts[at] = new = merged[least]
+            ranks[gone], parts[gone] = NONE, -1
+            after[at] = right = after[gone]
+            ranks[at] = NONE
+            if right < n:
+                before[right] = at
+                ranks[at] = r = rank(new << 32 | parts[right], NONE)
+                if r != NONE:
+                    heappush(heap, r << 32 | at)
+            if (left := before[at]) >= 0:
+                ranks[left] = r = rank(parts[left] << 32 | new, NONE)
+                if r != NONE:
+                    heappush(heap, r << 32 | left)
+        return [p for p in parts if p >= 0]
+
     def _chunk(self, chunk: str) -> tuple[bytes, bool]:
         words = (self.plain_words if max(chunk, default="") < SETTLED else self.words).findall(chunk)
         if len(words) == 1:

@@ -7,23 +7,20 @@ weighted sum.  Trained on the driver by Adam on a bounded sample of labelled doc
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spherion.llm.shared import keep_rows
 from spherion.llm.textkernel import blocks, texts_of, word_hashes, word_spans
 
-#: Words of a passage; labelled documents that training sees at most; the threshold of the contract.
-PASSAGE, TRAINING_ROWS, THRESHOLD = 64, 4000, 0.3
+#: Words of a passage; labelled documents, and evenly spaced passages of each, that training sees at most; the threshold of the contract.
+PASSAGE, TRAINING_ROWS, TRAINING_PASSAGES, THRESHOLD = 64, 4000, 128, 0.3
 HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 800, 0.02, 1e-4
 
 #: Byte classes whose shares are features: each punctuation mark, then digits, upper, lower, line ends, other white space, the rest.
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_CLASS = np.full(256, len(_MARKS) + 5, np.int64)
+_CLASS = np.full(256, len(_MARKS) + 5, np.int32)
 for _k, _b in enumerate(_MARKS):
     _CLASS[_b] = _k
 for _k, _set in enumerate((b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), b"\n\r", b" \t\x0b\x0c")):
@@ -47,9 +44,9 @@ def passage_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     count = np.bincount(passage, minlength=total)
     one = np.maximum(count, 1)
     # Bytes belong to the passage of the last word that began before them.
-    word_of_byte = np.zeros(len(raw), np.int64)
+    word_of_byte = np.zeros(len(raw), np.int32)
     word_of_byte[starts] = 1
-    word_of_byte = np.maximum(np.cumsum(word_of_byte) - 1, 0)
+    word_of_byte = np.maximum(np.cumsum(word_of_byte, dtype=np.int32) - 1, 0)
     shares = np.bincount(passage[word_of_byte] * N_CLASSES + _CLASS[raw], minlength=total * N_CLASSES).reshape(total, N_CLASSES)
     out[:, :N_CLASSES] = np.sqrt(shares / np.maximum(shares.sum(1, keepdims=True), 1))
     length = (ends - starts).astype(np.float64)
@@ -83,8 +80,9 @@ class AttentionModel:
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
         n = N_FEATURES
-        self.mean, self.scale = np.zeros(n), np.ones(n)
-        self.p = {"W": r.normal(0, n**-0.5, (n, HIDDEN)), "b": np.zeros(HIDDEN), "V": r.normal(0, 0.3, (HIDDEN, GATE)), "U": r.normal(0, 0.3, (HIDDEN, GATE)), "w": r.normal(0, 0.3, GATE), "c": r.normal(0, 0.3, HIDDEN), "d": np.zeros(1)}
+        self.mean, self.scale = np.zeros(n, np.float32), np.ones(n, np.float32)
+        start = {"W": r.normal(0, n**-0.5, (n, HIDDEN)), "b": np.zeros(HIDDEN), "V": r.normal(0, 0.3, (HIDDEN, GATE)), "U": r.normal(0, 0.3, (HIDDEN, GATE)), "w": r.normal(0, 0.3, GATE), "c": r.normal(0, 0.3, HIDDEN), "d": np.zeros(1)}
+        self.p = {k: x.astype(np.float32) for k, x in start.items()}
 
     def _forward(self, x: np.ndarray, first: np.ndarray):
         p, at = self.p, first[:-1]
@@ -105,13 +103,14 @@ class AttentionModel:
         return self._forward(self._standard(features), first)[-1]
 
     def fit(self, features: np.ndarray, first: np.ndarray, labels: np.ndarray) -> "AttentionModel":
-        self.mean, self.scale = features.mean(0), features.std(0) + 1e-3
+        self.mean, self.scale = features.mean(0, dtype=np.float64).astype(np.float32), (features.std(0, dtype=np.float64) + 1e-3).astype(np.float32)
         x, bags, at = self._standard(features), np.diff(first), first[:-1]
         p, m, v = self.p, {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
         # Both classes weigh the same up to a factor of four, so that a rare class is learnt.
         share = np.clip(labels.mean(), 0.1, 0.9)
         weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
-        weight /= weight.sum()
+        weight = (weight / weight.sum()).astype(np.float32)
+        labels = labels.astype(np.float32)
         for step in range(1, STEPS + 1):
             h, t, s, a, z, y = self._forward(x, first)
             g = (y - labels) * weight
@@ -142,27 +141,38 @@ def training_labels(labels: DataFrame, column: str, rows: int) -> DataFrame:
 
 
 def _feature_batches(batches):
+    """Rows (id, y, x): evenly spaced passages of each text."""
     for batch in batches:
-        raw, offsets = texts_of(batch.column(1))
+        raw, offsets = texts_of(batch.column(2))
         rows = []
         for a, b in blocks(offsets):
             x, first = passage_features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            rows += [x[s:e].tobytes() for s, e in zip(first[:-1], first[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["y", "x"])
+            rows += [x[s + np.arange(0, e - s, -(-(e - s) // TRAINING_PASSAGES))].tobytes() for s, e in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["id", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> AttentionModel | None:
-    """A model from at most ``rows`` labelled documents; None where there are not both labels to learn from."""
+    """A model from at most ``rows`` labelled documents; None where there are not both labels to learn from.
+
+    Of documents with one id the one with the least features counts, so what reaches the driver is bounded.
+    """
     known = training_labels(labels, "quality", rows).withColumnRenamed("doc_id", "__id")
     text = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("text"))
-    found = text.join(F.broadcast(known), text["__doc"] == known["__id"]).select("y", "text").mapInArrow(_feature_batches, "y int, x binary").collect()
+    seen = text.join(F.broadcast(known), text["__doc"] == known["__id"]).select("__id", "y", "text").mapInArrow(_feature_batches, "id long, y int, x binary")
+    found = seen.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("id").collect()
     y = np.array([r["y"] for r in found])
     if len(set(y.tolist())) < 2:
         return None
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in found]
-    order = np.lexsort((np.array([zlib.crc32(b.tobytes()) for b in bags]), y))  # tasks may end in any order
-    bags, y = [bags[k] for k in order], y[order]
-    return AttentionModel().fit(np.concatenate(bags).astype(np.float64), np.concatenate([[0], np.cumsum([len(b) for b in bags])]), y)
+    return AttentionModel().fit(np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])]), y)
+
+
+def _scores(model: AttentionModel | None, column: pa.Array) -> np.ndarray:
+    raw, offsets = texts_of(column)
+    if model is None:
+        return np.ones(len(offsets) - 1)
+    found = [model.score(*passage_features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in blocks(offsets)]
+    return np.concatenate([np.zeros(0), *found]).astype(np.float64)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -175,19 +185,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
 
     def run(batches):
         for batch in batches:
-            raw, offsets = texts_of(batch.column(1))
-            found = []
-            for a, b in blocks(offsets):
-                if model is None:
-                    found.append(np.ones(b - a))
-                else:
-                    found.append(model.score(*passage_features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *found]))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(1)))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the classifier accepts (of rows with one id all stay or none; rows with a null id likewise)."""
-    return keep_rows(docs, "doc_id", score_quality(docs, labels).where("predicted = 0").select("doc_id"), "left_anti")
+    """Rows of ``docs`` that the classifier accepts, scored and dropped in one pass: no shuffle, no join.
+
+    Each row is judged by its own text, whatever its doc_id: null ids and repeated rows like any other, a null or empty
+    text as one passage without words.  Other columns pass through; without labels of both kinds every row stays.
+    """
+    model, at = train(docs, labels), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model, batch.column(at)) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

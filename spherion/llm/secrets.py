@@ -45,9 +45,16 @@ def luhn(text: str) -> bool:
     return total % 10 == 0
 
 
+#: A private key to its END line; without one, to the end of the lines of base-64 text that follow BEGIN (line ends may be written as ``\\n``).
+PRIVATE_KEY = re.compile(
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:(?:[A-Za-z0-9+/=:,.\\\s]|-(?!-))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})*+)"
+)
+
 ADDED = {
     "token_crc": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), re.compile(r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), crc_token),
-    "private_key": (("-----BEGIN ",), re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), None),
+    "private_key": (("-----BEGIN ",), PRIVATE_KEY, None),
     "card": (("card",), re.compile(r"card(?: ?number)?[:=]?\x20{0,3}(\d(?:[ -]?\d){12,18})(?!\d)"), luhn),
 }
 KINDS = (*BASE, *ADDED)

@@ -76,9 +76,18 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+#: Ids up to which they are sent to every executor (some 64 MB there); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def keep_rows(docs: DataFrame, key: str, kept: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is in (``left_semi``) or not in (``left_anti``) ``kept``, whose only column is an id."""
-    other = kept.toDF("__kept_id").distinct()
+    """Rows of ``docs`` whose ``key`` is in (``left_semi``) or not in (``left_anti``) ``kept``, whose only column is an id.
+
+    The ids are written and counted first: few of them are sent to the texts, so texts move only for many.
+    """
+    other = written(docs.sparkSession, kept.toDF("__kept_id").distinct(), "ids")
+    if other.count() <= BROADCAST_IDS:
+        other = F.broadcast(other)
     return docs.join(other, same(docs[key], other["__kept_id"]), how)
 
 

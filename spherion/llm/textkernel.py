@@ -11,6 +11,9 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
+#: Bytes whose words are hashed at once.
+SEGMENT = 256 << 10
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -31,7 +34,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def blocks(offsets: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, size: int = 512 << 10) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``size`` bytes; one longer text stands alone."""
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -69,7 +72,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        n = max(n, 5 << 20)
+        n = max(n, SEGMENT + 4096)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             x = np.full(n, base, np.uint64)
             x[0] = 1
@@ -78,11 +81,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands."""
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word, the same wherever the word stands.
+
+    ``starts`` may overlap their predecessors' words but must rise.  Bytes are taken in segments of whole words, so
+    the tables of powers stay small however long the text is.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + SEGMENT)))
+        low, high = int(starts[at]), int(ends[at:to].max())
+        up, down = _powers(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=total[1:])
+        s, e = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
