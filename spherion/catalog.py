@@ -363,10 +363,65 @@ def ivf_external_centroids(spark, sf_dir):
     return _rounded(index.search(query_vector(df), 10, [len(index.levels[0][0])], bounds=False), "distance")
 
 
+@query(f"select vec_id as id, round(d, 6) + 0 as distance from (select vec_id, case when vec_id % 5 = 2 then sqrt(list_sum(list_transform(range(1, 65), lambda i: (-v[i] - qv[i]) ** 2))) else list_distance(v, qv) end as d from e, q where vec_id % 7 <> 3) order by d, vec_id limit 10")
+def ivf_update_topk(spark, sf_dir):
+    """Deleted ids that come back with other vectors, in an index that was closed and opened; others stay away."""
+    df = embeddings(spark, sf_dir).where("embedding is not null")
+    path = scratch_path(spark, "ivf")
+    index = IvfIndex.build(df, path, IvfOptions(lists=(8,)))
+    index.delete(df.where("vec_id % 5 = 2 or vec_id % 7 = 3").select("vec_id"))
+    index.insert(df.where("vec_id % 5 = 2 and vec_id % 7 <> 3").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding")))
+    return _rounded(IvfIndex.open(spark, path).search(query_vector(df), 10, [8], bounds=False), "distance")
+
+
+#: Of 32 lists, so many hold nine of ten true neighbours: unclustered vectors of 64 dimensions spread over most lists.
+IVF_PROBES = [27]
+
+
+# Recall: every vector whose id is divisible by 50 against all vectors.
+
+def _asked(df: DataFrame) -> DataFrame:
+    return df.where("vec_id % 50 = 0 and embedding is not null")
+
+
+def _recall_of(found: DataFrame, df: DataFrame, k: int) -> DataFrame:
+    """(enough): whether ``found`` (query_id, id) holds at least 0.9 of the k nearest of each asked vector, taken together."""
+    exact = nearest_join(_asked(df), df, k).select("query_id", F.col("neighbor_id").alias("id"))
+    both = exact.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg((F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query("select true as enough")
+def ivf_recall(spark, sf_dir):
+    df, index = _ivf(spark, sf_dir, lists=(32,), residual_quantization=True)
+    return _recall_of(index.search_many(_asked(df), 10, IVF_PROBES), df, 10)
+
+
+@query("select true as enough")
+def graph_recall(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    index = GraphIndex.build(df, scratch_path(spark, "graph"), GraphOptions(m=16), parts=4)
+    found = None
+    for row in _asked(df).orderBy("vec_id").toLocalIterator():
+        one = index.search(list(row["embedding"]), 10).select(F.lit(row["vec_id"]).alias("query_id"), "id")
+        found = one if found is None else found.unionByName(one)
+    return _recall_of(found, df, 10)
+
+
+@query("select true as enough")
+def rabitq8_recall(spark, sf_dir):
+    """The nearest by 8-bit codes alone, for the vector of vec_id 0: nine of the ten nearest are among the first twelve."""
+    df = embeddings(spark, sf_dir)
+    q = query_vector(df)
+    near = top_k(df, q, 10).select("vec_id")
+    found = Q.quantized_top_k(df, q, 12).select(F.col("id").alias("vec_id"))
+    return near.join(found, "vec_id", "left_semi").agg((F.count("*") >= 9).alias("enough"))
+
+
 @query()
 def ivf_topk(spark, sf_dir):
     df, index = _ivf(spark, sf_dir, lists=(32,), residual_quantization=True)
-    return _rounded(index.search(query_vector(df), 10, [16]), "distance")
+    return _rounded(index.search(query_vector(df), 10, IVF_PROBES), "distance")
 
 
 @query()
@@ -390,6 +445,45 @@ def _roundtrip(bits: int):
 _QUERIES["rabitq8_roundtrip"], _QUERIES["rabitq4_roundtrip"] = _roundtrip(8), _roundtrip(4)
 
 
+def _code_errors(bits: int, bound: float):
+    def run(spark, sf_dir):
+        """Whether distances on codes are as near to the exact ones as their width allows."""
+        df = embeddings(spark, sf_dir).where("embedding is not null")
+        v = D.vector(query_vector(df))
+        coded = df.select("vec_id", "embedding", Q.quantize("embedding", bits).alias("c"), Q.quantize(v, bits).alias("q"))
+        out = coded.select("vec_id", "embedding", *[Q.code_distance(m, "c", "q", bits).alias(m) for m in ("l2", "ip", "cosine")])
+        exact = {"l2": D.l2("embedding", v), "ip": D.negative_inner_product("embedding", v), "cosine": D.cosine("embedding", v) - 1}
+        # Near the query itself the root of a small difference is coarse, so squares are compared.
+        squares = F.abs(F.pow("l2", F.lit(2)) - F.pow(exact["l2"], F.lit(2)))
+        return out.select("vec_id", (squares < 2 * bound).alias("l2_near"), (F.abs(F.col("ip") - exact["ip"]) < bound).alias("ip_near"), (F.abs(F.col("cosine") - exact["cosine"]) < bound).alias("cosine_near"))
+
+    return run
+
+
+_NEAR = "select vec_id, true as l2_near, true as ip_near, true as cosine_near from e"
+for _bits, _bound in ((8, 0.02), (4, 0.2)):
+    _QUERIES[f"rabitq{_bits}_distances"], _ORACLE[f"rabitq{_bits}_distances"] = _code_errors(_bits, _bound), _COMMON + _NEAR
+
+
+def _sphere(bits: int | None, radius: float):
+    def run(spark, sf_dir):
+        """A sphere on codes (or halves) holds what lies well inside it and nothing that lies well outside."""
+        df = embeddings(spark, sf_dir).where("embedding is not null")
+        v = D.vector(query_vector(df))
+        if bits is None:
+            found = df.select("vec_id", D.l2(Q.to_half("embedding"), Q.to_half(v)).alias("d"), D.l2("embedding", v).alias("x")).withColumn("inside", F.col("d") < radius)
+        else:
+            coded = df.select("vec_id", D.l2("embedding", v).alias("x"), Q.quantize("embedding", bits).alias("c"), Q.quantize(v, bits).alias("q"))
+            found = coded.select("vec_id", "x", Q.code_within("l2", "c", "q", radius, bits).alias("inside"))
+        return found.select("vec_id", ((F.abs(F.col("x") - radius) < 0.15) | (F.col("inside") == (F.col("x") < radius))).alias("agrees"))
+
+    return run
+
+
+for _name, _bits in (("half", None), ("rabitq8", 8), ("rabitq4", 4)):
+    _QUERIES[f"{_name}_sphere"], _ORACLE[f"{_name}_sphere"] = _sphere(_bits, 1.3), _COMMON + "select vec_id, true as agrees from e"
+
+
 @query()
 def rabitq8_topk(spark, sf_dir):
     df = embeddings(spark, sf_dir)
@@ -403,7 +497,10 @@ def rabitq4_range(spark, sf_dir):
     return _rounded(coded.select("vec_id", Q.code_distance("l2", "c", "q", 4).alias("distance")).where("distance < 1.3"), "distance")
 
 
-@query()
+_HALF = "list_transform({v}, lambda x: case when x = 0 then 0.0 else round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) end)"
+
+
+@query(f"select vec_id, round(d, 6) + 0 as distance from (select vec_id, list_distance({_HALF.format(v='v')}, {_HALF.format(v='qv')}) as d from e, q) order by d, vec_id limit 10")
 def halfvec_l2_topk(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     q = np.asarray(query_vector(df)).astype("<f2").astype(float)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spherion.functions import kmeans, rabitq
@@ -15,12 +16,18 @@ from spherion.functions.kernels import distances, least, matrix
 
 MAX_DIMENSION, MAX_LEVELS, EPSILON = 60000, 8, 1.9
 #: Bytes of the sample that the driver clusters at most, and tasks that rewrite one list (a list may hold most rows).
-SAMPLE_BYTES, LIST_TASKS = 1 << 30, 8
+SAMPLE_BYTES, LIST_TASKS = 256 << 20, 8
+#: Bytes of queries that tasks get at once.
+QUERY_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
 class IvfOptions:
-    """``lists``: centroids per level from the root's children to the leaves; empty: one list that holds all."""
+    """``lists``: centroids per level from the root's children to the leaves; empty: one list that holds all.
+
+    ``rerank_in_table`` stores codes without vectors, so searches need the table.  ``build_threads``,
+    ``degree_of_parallelism`` and ``pin`` are checked and kept, no more: Spark's own tasks and ``prewarm`` take their place.
+    """
 
     lists: tuple[int, ...] = ()
     metric: str = "l2"
@@ -100,7 +107,12 @@ def external_centroids(table: DataFrame, dim: int) -> list[tuple[np.ndarray, np.
 
 @dataclass
 class IvfIndex:
-    """``levels``: (centroids, parents), bounded by ``lists``; ``path``: rows (id, vec, list_id, code) partitioned by list_id."""
+    """``levels``: (centroids, parents), bounded by ``lists``; ``path``: rows (id, seq, vec, code) partitioned by list_id.
+
+    Beside the rows lie ``path``.meta (options and centroids, which ``open`` reads), ``path``.log (a row per change) and
+    ``path``.deleted (id, seq).  Changes are numbered; a deletion holds for rows with smaller numbers only, so an id may come
+    back.  One writer at a time; readers see what was written when they planned.
+    """
 
     spark: SparkSession
     path: str
@@ -133,15 +145,54 @@ class IvfIndex:
         else:
             levels = [(np.zeros((1, dim)), np.zeros(1, np.int64))]
         index = cls(df.sparkSession, path, options, dim, levels)
-        index._assigned(rows).write.mode("overwrite").partitionBy("list_id").parquet(path)
+        index._start()
+        index._assigned(rows, 0).write.mode("overwrite").partitionBy("list_id").parquet(path)
+        index._describe()
         return index
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "IvfIndex":
+        """The index that ``build`` or ``vacuum`` left at ``path``."""
+        rows = spark.read.parquet(path + ".meta").collect()  # as many as centroids, which one driver clustered
+        facts = json.loads(next(r["facts"] for r in rows if r["level"] < 0))
+        facts["options"]["lists"] = tuple(facts["options"]["lists"])
+        levels = []
+        for k in range(facts["levels"]):
+            own = sorted((r for r in rows if r["level"] == k), key=lambda r: r["node"])
+            levels.append((np.array([r["centroid"] for r in own], np.float64).reshape(len(own), -1), np.array([r["parent"] for r in own], np.int64)))
+        return cls(spark, path, IvfOptions(**facts["options"]), facts["dim"], levels)
+
+    def _start(self) -> None:
+        """Nothing of an older index at this path stays."""
+        for suffix in ("", ".meta", ".log", ".deleted"):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + suffix)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def _describe(self) -> None:
+        facts = json.dumps({"options": asdict(self.options), "dim": self.dim, "levels": len(self.levels)})
+        rows = [(-1, 0, 0, [], facts)] + [(k, node, int(parents[node]), c[node].tolist(), None) for k, (c, parents) in enumerate(self.levels) for node in range(len(c))]
+        schema = "level int, node int, parent int, centroid array<double>, facts string"
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(self.path + ".meta")
+
+    def _exists(self, suffix: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + suffix)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def _next(self, what: str) -> int:
+        """A number above all changes before, with ``what`` noted in the log; a change of the same name keeps its number."""
+        log = self.spark.read.schema("seq long, what string").parquet(self.path + ".log") if self._exists(".log") else None
+        if log is not None and what and (old := log.where(F.col("what") == what).first()):
+            return old["seq"]
+        seq = 1 + ((log.agg(F.max("seq")).first()[0] or 0) if log is not None else 0)
+        self.spark.createDataFrame([(seq, what)], "seq long, what string").coalesce(1).write.mode("append").parquet(self.path + ".log")
+        return seq
+
     @property
     def schema(self) -> str:
-        return "id long, vec array<double>, list_id int, signs binary, dis_u_2 double, factor_cnt double, factor_ip double, factor_err double"
+        return "id long, vec array<double>, list_id int, signs binary, dis_u_2 double, factor_cnt double, factor_ip double, factor_err double, seq long"
 
-    def _assigned(self, rows: DataFrame) -> DataFrame:
-        levels, metric, dim, residual = self.levels, self.options.metric, self.dim, self.options.residual_quantization
+    def _assigned(self, rows: DataFrame, seq: int) -> DataFrame:
+        levels, metric, dim, residual, bare = self.levels, self.options.metric, self.dim, self.options.residual_quantization, self.options.rerank_in_table
 
         def run(batches):
             for batch in batches:
@@ -158,40 +209,55 @@ class IvfIndex:
                         leaf = -1 - leaf
                 signs, factors = rabitq.binary_code(rabitq.rotate(x - levels[-1][0][leaf] if residual else x))
                 packed = np.packbits(signs, axis=1, bitorder="little")
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+                vec = pa.nulls(len(x), pa.list_(pa.float64())) if bare else pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), vec, pa.array(leaf.astype(np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), *(pa.array(np.asarray(factors[f], np.float64)) for f in ("dis_u_2", "factor_cnt", "factor_ip", "factor_err"))],
-                    ["id", "vec", "list_id", "signs", "dis_u_2", "factor_cnt", "factor_ip", "factor_err"],
+                    [batch.column(0), vec, pa.array(leaf.astype(np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), *(pa.array(np.asarray(factors[f], np.float64)) for f in ("dis_u_2", "factor_cnt", "factor_ip", "factor_err")), pa.array(np.full(len(x), seq))],
+                    ["id", "vec", "list_id", "signs", "dis_u_2", "factor_cnt", "factor_ip", "factor_err", "seq"],
                 )
 
         return rows.mapInArrow(run, self.schema)
 
     # Change
 
-    def insert(self, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    def insert(self, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", once: str = "") -> None:
+        """Appends rows.  A change named ``once`` that is tried again after a failure adds only what it hasn't added yet."""
         rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-        self._assigned(rows).write.mode("append").partitionBy("list_id").parquet(self.path)
+        seq = self._next(once)
+        if once:
+            done = self._stored().where(F.col("seq") == seq).select("id")
+            rows = rows.join(done, "id", "left_anti")
+        self._assigned(rows, seq).write.mode("append").partitionBy("list_id").parquet(self.path)
 
     def delete(self, ids: DataFrame) -> None:
-        """Marks ids as deleted; ``vacuum`` rewrites without them."""
-        ids.toDF("id").select(F.col("id").cast("long")).write.mode("append").parquet(self.path + ".deleted")
+        """Marks the rows of ids as deleted that are there now; ``vacuum`` rewrites without them."""
+        seq = self._next("")
+        ids.toDF("id").select(F.col("id").cast("long"), F.lit(seq).cast("long").alias("seq")).write.mode("append").parquet(self.path + ".deleted")
 
-    def _deleted(self) -> DataFrame | None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path + ".deleted")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.parquet(self.path + ".deleted")
+    def upsert(self, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+        """Rows in place of those with the same ids."""
+        self.delete(df.select(id_col))
+        self.insert(df, id_col, vec_col)
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*[c.split()[0] for c in self.schema.split(", ")])
 
     def rows(self) -> DataFrame:
-        out = self.spark.read.schema(self.schema).parquet(self.path).select(*[c.split()[0] for c in self.schema.split(", ")])
-        gone = self._deleted()
-        return out if gone is None else out.join(gone, "id", "left_anti")
+        out = self._stored()
+        if not self._exists(".deleted"):
+            return out
+        gone = self.spark.read.schema("id long, seq long").parquet(self.path + ".deleted").groupBy(F.col("id").alias("gone")).agg(F.max("seq").alias("until"))
+        return out.join(gone, (out["id"] == gone["gone"]) & (out["seq"] < gone["until"]), "left_anti")
 
     def vacuum(self, path: str) -> "IvfIndex":
-        """A compacted copy without what is deleted."""
-        self.rows().repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(LIST_TASKS))).write.mode("overwrite").partitionBy("list_id").parquet(path)
-        return IvfIndex(self.spark, path, self.options, self.dim, self.levels)
+        """A compacted copy at another path without what is deleted."""
+        if path == self.path:
+            raise ValueError("vacuum writes to another path")
+        other = IvfIndex(self.spark, path, self.options, self.dim, self.levels)
+        other._start()
+        rows = self.rows().withColumn("seq", F.lit(0).cast("long"))
+        rows.repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(LIST_TASKS))).write.mode("overwrite").partitionBy("list_id").parquet(path)
+        other._describe()
+        return other
 
     # Search
 
@@ -229,6 +295,8 @@ class IvfIndex:
         rows = self.rows().where(F.col("list_id").isin(lists))
         if where is not None and prefilter:
             rows = rows.join(where.toDF("id"), "id", "left_semi")
+        if table is None and self.options.rerank_in_table:
+            raise ValueError("the index holds no vectors: give the table")
         if table is not None:
             rows = rows.drop("vec").join(table.toDF("id", "vec"), "id").select(*[c.split()[0] for c in self.schema.split(", ")])
         keep = max(k if max_scan < 0 else max_scan, 1) if where is None or prefilter else None
@@ -241,6 +309,34 @@ class IvfIndex:
             scored = scored.where(F.col("distance") < float(radius))
         return scored.orderBy("distance", "id").limit(k)
 
+    def search_many(self, queries: DataFrame, k: int, probes: str | list[int] | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+        """(query_id, id, distance): the k nearest in the probed lists for every row of ``queries``, in one pass a block.
+
+        Queries go to the tasks in blocks of some QUERY_BYTES; each task keeps k a query and batch, then a window merges them.
+        Null queries find nothing; distances are exact.
+        """
+        if self.options.rerank_in_table:
+            raise ValueError("the index holds no vectors: search with the table")
+        given = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("q"))
+        n = given.count()
+        parts = max(1, -(-n * self.dim * 8 // QUERY_BYTES))
+        out = self.spark.createDataFrame([], "query_id long, id long, distance double")
+        for part in range(parts):
+            block = given.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+            _, q = matrix(block.column(1), self.dim)
+            q = _unit(q) if self.options.metric == "cosine" else q
+            names = block.column(0).to_numpy()
+            wanted: dict[int, list[int]] = {}
+            for k_, row in enumerate(q):
+                for node in self.probed_lists(row, probes):
+                    wanted.setdefault(node, []).append(k_)
+            if wanted:
+                rows = self.rows().where(F.col("list_id").isin(sorted(wanted))).select("id", "list_id", "vec")
+                found = rows.mapInArrow(_many(self.options.metric, names, q, wanted, k, self.dim), "query_id long, id long, distance double")
+                out = out.unionByName(found)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+        return out.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+
     def prewarm(self, height: int = 0) -> str:
         """Caches the rows of the index and tells the nodes of each level down to ``height``."""
         if not 0 <= height <= len(self.levels):
@@ -254,6 +350,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
 
+def _many(metric, names, q, wanted, k, dim):
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            _, x = matrix(batch.column(2), dim)
+            near: dict[int, list] = {}
+            for node in np.unique(lists):
+                at, own = np.flatnonzero(lists == node), wanted.get(int(node), [])
+                d = distances("l2" if metric == "l2" else "ip", q[own], x[at]) + (1 if metric == "cosine" else 0)
+                for row, one in zip(d, own):
+                    pick = least(row, ids[at], k)
+                    near.setdefault(one, []).append((ids[at][pick], row[pick]))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for one, parts in near.items():
+                i, d = (np.concatenate(z) for z in zip(*parts))
+                pick = least(d, i, k)
+                out.append((np.full(len(pick), names[one]), i[pick], d[pick]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], ["query_id", "id", "distance"])
+
+    return run
+
+
 def _reranked(metric, q, keep, epsilon, bounds, dim, centroids):
     def run(batches):
         for batch in batches:

@@ -9,12 +9,11 @@ from spherion.operators.ivf import IvfIndex
 
 
 def stream_into(index: IvfIndex, vectors: DataFrame, checkpoint: str, id_col: str = "vec_id", vec_col: str = "embedding", once: bool = False) -> StreamingQuery:
-    """Appends each micro-batch to the index.  A batch that is tried again after a failure is written anew: ids that the
-    index already holds are left out, so the index gets each id once."""
+    """Appends each micro-batch to the index, each id of a batch once.  A batch that is tried again after a failure keeps its
+    number in the index's log, so only rows of that number are looked at for what is there already."""
 
-    def add(batch: DataFrame, _: int) -> None:
-        known = index.rows().select("id")
-        index.insert(batch.dropDuplicates([id_col]).join(known, batch[id_col] == known["id"], "left_anti"), id_col, vec_col)
+    def add(batch: DataFrame, number: int) -> None:
+        index.insert(batch.dropDuplicates([id_col]), id_col, vec_col, once=f"{checkpoint}#{number}")
 
     writer = vectors.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

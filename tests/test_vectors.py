@@ -357,3 +357,42 @@ def test_indexed_candidates_fill_gaps(spark):
         want = {i: sum(v for v, _ in c) for i, c in want.items() if any(s for _, s in c)}
         got = {x["id"]: x["estimate"] for x in M.indexed_candidates(index, q, "2", M.CoarseOptions(refine=10000, threshold=threshold)).collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_index_changes_and_opens(spark, tmp_path):
+    path = str(tmp_path / "ivf")
+    df = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(10)], "vec_id long, embedding array<double>")
+    index = IvfIndex.build(df, path, IvfOptions(lists=(2,)))
+    index.delete(spark.createDataFrame([(3,), (4,)], "id long"))
+    index.insert(spark.createDataFrame([(3, [30.0, 0.0])], "vec_id long, embedding array<double>"))
+    for found in (index, IvfIndex.open(spark, path)):
+        assert found.options == index.options and found.dim == 2
+        assert [(r["id"], r["distance"]) for r in found.search([30.0, 0.0], 2, [2]).collect()] == [(3, 0.0), (9, 21.0)]
+        assert found.rows().count() == 9
+    index.upsert(spark.createDataFrame([(9, [0.0, 1.0]), (4, [4.0, 0.0])], "vec_id long, embedding array<double>"))
+    compact = index.vacuum(str(tmp_path / "compact"))
+    assert sorted((r["id"], r["vec"]) for r in IvfIndex.open(spark, compact.path).rows().collect())[-1] == (9, [0.0, 1.0])
+    assert compact.rows().count() == 10
+    assert IvfIndex.build(df, path, IvfOptions(lists=(2,))).rows().count() == 10
+    again = spark.createDataFrame([(70, [7.0, 7.0]), (71, [8.0, 8.0])], "vec_id long, embedding array<double>")
+    compact.insert(again.limit(1), once="batch")
+    compact.insert(again, once="batch")
+    assert compact.rows().where("id >= 70").count() == 2
+
+
+def test_index_searches_many_at_once(spark, tmp_path, monkeypatch):
+    from spherion.operators import ivf
+
+    df = spark.createDataFrame([(k, [float(k % 7), float(k // 7)]) for k in range(60)] + [(99, None)], "vec_id long, embedding array<double>")
+    index = IvfIndex.build(df, str(tmp_path / "ivf"), IvfOptions(lists=(4,)))
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(ivf, "QUERY_BYTES", size)
+        got = index.search_many(df.where("vec_id % 10 = 0 or vec_id = 99"), 3, [4]).collect()
+        assert len(got) == 18
+        for q in (0, 50):
+            want = [r["id"] for r in index.search([float(q % 7), float(q // 7)], 3, [4]).collect()]
+            assert [r["id"] for r in sorted((x for x in got if x["query_id"] == q), key=lambda x: (x["distance"], x["id"]))] == want
+    bare = IvfIndex.build(df, str(tmp_path / "bare"), IvfOptions(lists=(4,), rerank_in_table=True))
+    assert bare.rows().where("vec is not null").count() == 0
+    with pytest.raises(ValueError):
+        bare.search([0.0, 0.0], 3, [4])
