@@ -25,7 +25,7 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(spark, _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return filter_urls(spark, _table(spark, sf_dir, "pages"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -101,7 +102,7 @@ def plain_rule(host, path):
 def test_urls_against_plain_rules(spark, sf_dir):
     odd = [None, "", "no scheme", "http://", "http://A.COM", "http://a.com/", "x://é.NET/es/1?y", "http://example.com/en/a#b", "http://WWW.example.com/en/", "http://notexample.com/en/", "ftp://h.net/fr/\n/x", "http://a://b/c", "http://h.org?x://y", "http://z.org/" + "a/" * 3000]
     rows = [(k, u, "h") for k, u in enumerate(odd)] + [(None, "http://casino-x.org/1", "h"), (3, "http://", "h")]
-    labels = spark.createDataFrame([(0, 1, None), (0, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(0, 1), (0, None), (None, 1)], "page_id long, bad int")
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
     got = url_filter.filter_urls(spark, pages, labels).collect()
     want = Counter((i, *plain_url(u), (plain_rule(*plain_url(u)) or (None,))[0]) for i, u, _ in rows)
@@ -113,11 +114,87 @@ def test_urls_against_plain_rules(spark, sf_dir):
 
 def test_templates_learn(spark):
     rows = [(k, f"http://h.org/spam/{k}.html", ) for k in range(60)] + [(100 + k, f"http://h.org/news/title-{chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(60)]
-    labels = spark.createDataFrame([(i, 0 if i < 60 else 1, 0) for i, *_ in rows if i % 2 == 0], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i, *_ in rows if i % 2 == 0], "page_id long, bad int")
     got = url_filter.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string"), labels, rules=()).collect()
     assert {(x["page_id"] < 60, x["verdict"], x["template"]) for x in got} == {(True, "block", "/spam/<n>.html"), (False, "allow", "/news/*")}
 
 
+def plain_templates(paths):
+    """path -> template for one host; ``paths`` maps a path to (pages, labelled, bad).  The tree, by recursion."""
+    u = url_filter
+    shape = lambda x: re.sub(r"[0-9]+", "<n>", x)
+    out = {}
+    smooth = lambda bad, labelled: (bad + u.PRIOR * u.PSEUDO) / (labelled + u.PSEUDO)
+
+    def grow(own, level, node):
+        rest = [p for p in own if len(parts[p]) > level]
+        out.update({p: node for p in own if len(parts[p]) <= level})
+        if sum(paths[p][0] for p in rest) < u.LEAST_PAGES:
+            out.update({p: node + "/**" for p in rest})
+            return
+        values = {}
+        for p in rest:
+            values.setdefault(parts[p][level], []).append(p)
+        sums = {v: [sum(paths[p][k] for p in ps) for k in range(3)] for v, ps in values.items()}
+        pages, single = sum(x[0] for x in sums.values()), sum(x[0] == 1 for x in sums.values())
+        wild = len(values) > u.FANOUT or (len(values) >= u.SINGLES and 2 * single > len(values))
+        held = sorted((smooth(x[2], x[1]), v) for v, x in sums.items() if not wild or (x[0] * u.KEPT >= pages and x[0] >= u.LEAST_PAGES))
+        groups = []
+        for k, (share, v) in enumerate(held):
+            if k:
+                last, w = held[k - 1][0], held[k - 1][1]
+                error = (share * (1 - share) / (sums[v][1] + u.PSEUDO) + last * (1 - last) / (sums[w][1] + u.PSEUDO)) ** 0.5
+            if not k or share - last > u.Z * error:
+                groups.append([])
+            groups[-1].append(v)
+        names = {v: g[0] if len(g) == 1 else "{" + "|".join(sorted(g)) + "}" for g in groups for v in g}
+        branches = {}
+        for v, ps in values.items():
+            branches.setdefault(names.get(v, "*"), []).extend(ps)
+        for name, ps in branches.items():
+            grow(ps, level + 1, f"{node}/{name}")
+
+    parts = {p: [shape(x) for x in p.removeprefix("/").split("/")] for p in paths}
+    grow(list(paths), 0, "")
+    return out
+
+
+def test_templates_against_recursion(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "DEPTH", 6)
+    r = random.Random(8)
+    rows, bad = [], {}
+    for h in range(10):
+        sections = [f"s{chr(97 + k)}" for k in range(r.randrange(2, 50))]
+        for _ in range(r.randrange(5, 250)):
+            path = "/".join([r.choice(sections[: r.randrange(1, len(sections) + 1)]), *(r.choice(["x", "y", str(r.randrange(99)), f"t{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}"]) for _ in range(r.randrange(5)))])
+            rows.append((len(rows), f"http://h{chr(97 + h)}.org/{path}"))
+            if r.random() < 0.6:
+                bad[len(rows) - 1] = int(r.random() < (0.95 if path[1] < "f" else 0.02))
+    rows += [(9000 + k, "http://deep.org/" + "a/" * 40 + str(k)) for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {x["page_id"]: x for x in url_filter.filter_urls(spark, pages, spark.createDataFrame(list(bad.items()), "page_id long, bad int"), rules=()).collect()}
+    hosts = {}
+    for i, u in rows[:-6]:
+        host, path = plain_url(u)
+        x = hosts.setdefault(host, {}).setdefault(path, [0, 0, 0])
+        hosts[host][path] = [x[0] + 1, x[1] + (i in bad), x[2] + bad.get(i, 0)]
+    seen = set()
+    for host, paths in hosts.items():
+        templates = plain_templates(paths)
+        sums = {}
+        for p, t in templates.items():
+            x = sums.setdefault(t, [0, 0])
+            sums[t] = [x[0] + paths[p][1], x[1] + paths[p][2]]
+        for i, u in rows[:-6]:
+            if plain_url(u)[0] == host:
+                t = templates[plain_url(u)[1]]
+                verdict = "block" if (sums[t][1] + url_filter.PRIOR * url_filter.PSEUDO) / (sums[t][0] + url_filter.PSEUDO) > url_filter.PURITY else "allow"
+                assert (got[i]["template"], got[i]["verdict"]) == (t, verdict), u
+                seen.add((host, t, verdict))
+    assert len(seen) > 50 and {v for *_, v in seen} == {"block", "allow"}
+    assert {got[9000 + k]["template"] for k in range(6)} == {"/a" * 6 + "/**"}
+
+
 # Conversations
 
 def test_chat_against_sql(spark, sf_dir):
@@ -207,8 +284,89 @@ def test_toxicity(spark):
     assert {x["toxic"] for x in toxicity.score_toxicity(docs, known.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_against_plain_features(spark):
+    """Probabilities by plain Python from the chain's features and weights; features of a fold don't know its labels."""
+    from spherion.llm.textkernel import word_hashes
+
+    r = random.Random(4)
+    rows, labels = [], []
+    for k in range(400):
+        words = [f"w{r.randrange(200)}" for _ in range(r.randrange(3, 60))]
+        toxic, low = k % 6 == 0, k % 5 == 0
+        words += [r.choice(["Vile,", "nastyish", "nasty"]) for _ in range(3 * toxic)] + ["$$$", "junkword"] * low
+        r.shuffle(words)
+        rows.append((k, " ".join(words), "s", 9))
+        labels.append((k, int(not low), int(toxic)))
+    docs, known = spark.createDataFrame([*rows, rows[7]], DOCS), spark.createDataFrame([*labels, labels[3]], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, known)
+    got = {x["doc_id"]: x for x in toxicity.score_toxicity(docs, known).collect()}
+    hashed = lambda b: int(word_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+    features = {int(f): k for k, f in enumerate(chain.evidence.features)}
+    assert len(features) >= 3
+    for i, text, *_ in rows[:80]:
+        x, hits = [0.0] * chain.evidence.width, 0
+        for word in re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode()):
+            own = [hashed(word)] + [hashed(word[:n]) ^ n for n in toxicity.BEGINNINGS if len(word) > n]
+            own = [features[f] for f in own if f in features]
+            for f in own:
+                x[f] = 1.0
+            hits += any(chain.evidence.counted[f] for f in own)
+        for k, least in enumerate(toxicity.COUNTS):
+            x[len(features) + k] = float(hits >= least)
+        for name, w in zip(toxicity.CHAIN, chain.links):
+            p = 1 / (1 + np.exp(-(np.dot(x, w[:-1]) + w[-1])))
+            assert abs(got[i][name] - p) < 1e-9
+            x.append(p)
+    sample = toxicity.training_sample(docs, known, 1000)
+    ids = sorted(x["id"] for x in sample.collect())
+    assert len(ids) == len(set(ids)) and 250 < len(ids) < 400
+    from pyspark.sql import functions as F
+
+    changed = sample.withColumn("text", F.when(F.expr("fold = 2 and toxic = 1"), F.concat("text", F.lit(" freshword"))).otherwise(F.col("text")))
+    a, b = toxicity.chosen_features(sample), toxicity.chosen_features(changed)
+    assert np.array_equal(a[2].features, b[2].features) and not np.array_equal(a[1].features, b[1].features)
+
+
 # Pipeline
 
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    """Null ids and texts, repeated rows, clashing columns and an empty table, stage by stage."""
+    import corpus_pipeline
+
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).collect()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, score double, __kept_id long, w string, root int"
+    extra = (1, 0.5, 3, "w", 4)
+    rows = [(*x, *extra) for x in own] + [(None, "null id here and there " * 20, "en", "s", 9, *extra), (5000, None, None, None, None, *extra), (5001, "", "en", "s", 0, *extra), (own[0][0], *own[0][1:], *extra)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and 0 < out.count() <= len(rows), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    assert corpus_pipeline.near_dedup(spark, docs, sf_dir).where(f"doc_id = {own[0][0]}").count() <= 1
+    assert corpus_pipeline.secret_scan(spark, docs, sf_dir).where("text is null").count() == 1
+    out = corpus_pipeline.bpe(spark, docs, sf_dir)
+    assert out.count() == len(rows) and out.where("n_tokens = 0").count() >= 2
+
+
+def test_redaction_takes_whole_keys():
+    from spherion.llm.secrets import redact
+
+    body = ("A1b2" * 16 + "\n") * 5
+    assert redact(f"x -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}ab==\n-----END RSA PRIVATE KEY----- y") == "x [SECRET] y"
+    assert redact(f"x -----BEGIN PRIVATE KEY-----\n{body}then prose, and more") == "x [SECRET]\nthen prose, and more"
+    assert redact("x -----BEGIN PRIVATE KEY----- prose " * 2) == "x [SECRET] prose " * 2
+
+
+def test_long_words_merge_as_short_ones(monkeypatch):
+    from spherion.llm import bpe
+
+    b, r = bpe.tokenizer(bpe.default_vocabulary()), random.Random(3)
+    words = ["".join(r.choice(a) for _ in range(n)) for a in ("abcdefgh", "ab", "\u4e2d\u6587\u5b57") for n in (2, 7, 60, 190)]
+    short = [b.encode_word(w) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [b.encode_word(w) for w in words] == short
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
