@@ -3,7 +3,7 @@
 The tree grows level by level over pre-aggregated paths, as deep as a node still has ``LEAST_PAGES`` pages.  Segments are
 first brought to a shape (numbers, hexadecimal ids).  Where a node's values are many or mostly single, only those with a
 fair part of its pages stay and the rest become a wildcard.  Then children whose labelled shares don't differ
-significantly are merged into one branch, so that what lies below them is pooled.  A template is rejected when its
+significantly, and children without labels, are merged into one branch each, so that what lies below them is pooled.  A template is rejected when its
 smoothed share of bad labels passes a threshold.
 """
 
@@ -78,10 +78,11 @@ def node_children(tree: DataFrame, part: Column) -> DataFrame:
     h = nodes.select(F.col("host").alias("h"), F.col("node").alias("o"), "pages", wild.alias("wild"))
     held = values.join(_spread(h), (values["host"] == F.col("h")) & (values["node"] == F.col("o")) & (F.pmod(F.xxhash64("part"), F.lit(SALTS)) == F.col("salt")))
     held = held.where(~F.col("wild") | ((F.col("n") * KEPT >= F.col("pages")) & (F.col("n") >= LEAST_PAGES)))
-    order, share = Window.partitionBy("host", "node").orderBy("share", "part"), F.col("share")
+    known = F.col("labelled") > 0
+    order, share = Window.partitionBy("host", "node").orderBy(known, "share", "part"), F.col("share")
     before, weight = F.lag("share").over(order), F.col("labelled") + PSEUDO
     spread = F.sqrt(share * (1 - share) / weight + before * (1 - before) / F.lag(weight).over(order))
-    apart = F.coalesce(share - before > Z * spread, F.lit(True)).cast("int")
+    apart = F.coalesce((known != F.lag(known).over(order)) | (share - before > Z * spread), F.lit(True)).cast("int")
     held = held.select("host", "node", "part", "labelled", smoothed(F.col("bad"), F.col("labelled")).alias("share")).withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order))
     merged = held.groupBy("host", "node", "branch").agg(F.sort_array(F.collect_set("part")).alias("parts"))
     name = F.when(F.size("parts") == 1, F.get("parts", F.lit(0))).otherwise(F.concat(F.lit("{"), F.array_join("parts", "|"), F.lit("}")))

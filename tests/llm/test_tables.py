@@ -138,13 +138,13 @@ def plain_templates(paths):
         sums = {v: [sum(paths[p][k] for p in ps) for k in range(3)] for v, ps in values.items()}
         pages, single = sum(x[0] for x in sums.values()), sum(x[0] == 1 for x in sums.values())
         wild = len(values) > u.FANOUT or (len(values) >= u.SINGLES and 2 * single > len(values))
-        held = sorted((smooth(x[2], x[1]), v) for v, x in sums.items() if not wild or (x[0] * u.KEPT >= pages and x[0] >= u.LEAST_PAGES))
+        held = sorted((x[1] > 0, smooth(x[2], x[1]), v) for v, x in sums.items() if not wild or (x[0] * u.KEPT >= pages and x[0] >= u.LEAST_PAGES))
         groups = []
-        for k, (share, v) in enumerate(held):
+        for k, (known, share, v) in enumerate(held):
             if k:
-                last, w = held[k - 1][0], held[k - 1][1]
+                before, last, w = held[k - 1]
                 error = (share * (1 - share) / (sums[v][1] + u.PSEUDO) + last * (1 - last) / (sums[w][1] + u.PSEUDO)) ** 0.5
-            if not k or share - last > u.Z * error:
+            if not k or known != before or share - last > u.Z * error:
                 groups.append([])
             groups[-1].append(v)
         names = {v: g[0] if len(g) == 1 else "{" + "|".join(sorted(g)) + "}" for g in groups for v in g}
