@@ -2,8 +2,10 @@
 
 A rotation learnt on a bounded sample turns each vector into a balanced 64-bit code.  Codes stand in four tables of 16
 bits; each looks up the ball of radius one around every 16 bits, so pairs within seven bits always meet (of two values
-that differ in one bit exactly one has it set, so only set bits are cleared).  Codes alone are compared first; only
-vectors with a partner within ``RADIUS`` bits are dealt again, with their components, and compared by cosine.
+that differ in one bit exactly one has it set, so only set bits are cleared).  Every pair that a table finds counts.
+A code travels with a sketch: the vector's coordinates along ``AXES`` orthonormal axes and the length of what they leave.
+The product of two sketches is never below the cosine (Cauchy-Schwarz), so vectors without a partner whose sketch
+reaches the threshold have no link here; only the others are dealt again, with their components, and compared by cosine.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from spherion.llm.pairs import BOTH, PROBE, expand, forest, partner_ranges, spre
 from spherion.llm.shared import written
 
 THRESHOLD = 0.95
-BITS, TABLES, RADIUS = 64, 4, 16
+BITS, TABLES, AXES = 64, 4, 16
 #: Vectors that the rotation is learnt from at most, and rounds of learning.
 SAMPLE, ROUNDS = 4096, 50
-#: Codes of a bucket beyond which it is dealt over a grid of cells; pairs compared at once by code and by vector.
-HOT, CODE_BLOCK, VECTOR_BLOCK = 2000, 1 << 20, 1 << 15
+#: Sketches are halves of length one: rounding moves a product by less than 2 * 2^-11 + 2^-22.
+SLACK = 0.002
+#: Codes of a bucket beyond which it is dealt over a grid of cells; pairs compared at once by sketch and by vector.
+HOT, SKETCH_BLOCK, VECTOR_BLOCK = 500, 1 << 17, 1 << 15
 
 _PART = BITS // TABLES
 _MASK = np.uint64((1 << _PART) - 1)
@@ -42,14 +46,30 @@ def unit_vectors(rows: list[list | None]) -> tuple[np.ndarray, list[np.ndarray]]
     return valid, units
 
 
-def learn(sample: np.ndarray, dim: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection to BITS): principal axes, rotated to lose least when signs are taken.
+def sketch_axes(sample: np.ndarray, dim: int) -> np.ndarray:
+    """Up to AXES orthonormal columns that hold most of the sample's length (not of its spread: the mean counts)."""
+    lead = np.linalg.svd(sample, full_matrices=False)[2][:AXES].T if len(sample) else np.zeros((dim, 0))
+    fill = np.random.default_rng([13, dim]).normal(size=(dim, max(min(AXES, dim) - lead.shape[1], 0)))
+    return np.linalg.qr(np.hstack([lead, fill]))[0]
+
+
+def sketches(units: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """A row of AXES + 1 halves per unit vector; the product of two rows plus SLACK is at least the vectors' cosine."""
+    along = units @ axes
+    rest = np.linalg.norm(units - along @ axes.T, axis=1)
+    out = np.zeros((len(units), AXES + 1), np.float16)
+    out[:, : along.shape[1]], out[:, AXES] = along, rest
+    return out
+
+
+def learn(sample: np.ndarray, dim: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, projection to BITS, axes of the sketch): principal axes, rotated to lose least when signs are taken.
 
     Fewer than BITS dimensions or sample rows leave some directions; random ones fill up.
     """
     r = np.random.default_rng([seed, dim])
     if len(sample) < 2:
-        return np.zeros(dim), r.normal(size=(dim, BITS))
+        return np.zeros(dim), r.normal(size=(dim, BITS)), sketch_axes(sample, dim)
     mean = sample.mean(0)
     x = sample - mean
     axes = np.linalg.svd(x, full_matrices=False)[2][: min(BITS, dim, len(sample))].T
@@ -60,10 +80,10 @@ def learn(sample: np.ndarray, dim: int, seed: int = 11) -> tuple[np.ndarray, np.
         u, _, w = np.linalg.svd(code.T @ v)
         rotation = (u @ w).T
     projection = axes @ rotation
-    return mean, np.hstack([projection, r.normal(size=(dim, BITS - projection.shape[1]))])
+    return mean, np.hstack([projection, r.normal(size=(dim, BITS - projection.shape[1]))]), sketch_axes(sample, dim)
 
 
-def codes(units: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def codes(units: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     bits = (units - model[0]) @ model[1] >= 0
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -72,35 +92,39 @@ def _code_batches(models: dict):
     def run(batches):
         for batch in batches:
             valid, units = unit_vectors(batch.column(1).to_pylist())
-            dim, code, data = np.zeros(len(valid), np.int32), np.zeros(len(valid), np.uint64), [None] * len(valid)
+            dim, code = np.zeros(len(valid), np.int32), np.zeros(len(valid), np.uint64)
+            sketch, data = [None] * len(valid), [None] * len(valid)
             at = np.flatnonzero(valid)
             dim[at] = [len(u) for u in units]
             for d in np.unique(dim[at]).tolist():
                 own = np.flatnonzero(dim == d)
                 x = np.stack([u for u in units if len(u) == d])
-                code[own] = codes(x, models.get(d) or learn(x[:0], d))
-                for k, u in zip(own, x):
-                    data[k] = u.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dim), pa.array(code.view(np.int64)), pa.array(data, pa.binary())], ["vec_id", "dim", "code", "unit"])
+                model = models.get(d) or learn(x[:0], d)
+                code[own] = codes(x, model)
+                for k, u, s in zip(own, x, sketches(x, model[2])):
+                    data[k], sketch[k] = u.tobytes(), s.tobytes()
+            columns = [batch.column(0), pa.array(dim), pa.array(code.view(np.int64)), pa.array(sketch, pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "code", "sketch", "unit"])
 
     return run
 
 
 def _table_batches(batches):
-    """Rows (cell, role, rep, code): where each code stands and looks.  A cell names dimension, table and 16 bits."""
+    """Rows (cell, role, rep, code, sketch): where each code stands and looks.  A cell names dimension, table and 16 bits."""
     for batch in batches:
-        rep, code = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+        rep, code, every = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64), np.arange(batch.num_rows)
         room = batch.column(1).to_numpy().astype(np.int64) * TABLES << _PART
         out = []
         for t in range(TABLES):
             part = (code >> np.uint64(t * _PART)) & _MASK
             cell = room + (t << _PART) + part.astype(np.int64)
-            out.append((cell, np.full(len(rep), BOTH, np.int32), rep, code))
+            out.append((cell, np.full(len(rep), BOTH, np.int32), every))
             for bit in range(_PART):
                 on = np.flatnonzero((part >> np.uint64(bit)) & np.uint64(1))
-                out.append((cell[on] - (1 << bit), np.full(len(on), PROBE, np.int32), rep[on], code[on]))
-        cell, role, rep, code = (np.concatenate(x) for x in zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(role), pa.array(rep), pa.array(code.view(np.int64))], ["cell", "role", "rep", "code"])
+                out.append((cell[on] - (1 << bit), np.full(len(on), PROBE, np.int32), on))
+        cell, role, of = (np.concatenate(x) for x in zip(*out))
+        columns = [pa.array(cell), pa.array(role), pa.array(rep[of]), pa.array(code[of].view(np.int64)), batch.column(3).take(pa.array(of))]
+        yield pa.RecordBatch.from_arrays(columns, ["cell", "role", "rep", "code", "sketch"])
 
 
 def _meets_here(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,22 +141,21 @@ def _cell_pairs(cell, salt, role, code, block):
     order, lo, hi = partner_ranges(cell, salt, role)
     cell, code = cell[order], code[order]
     for i, j in expand(lo, hi, block):
-        a, b = code[i], code[j]
-        near = np.bitwise_count(a ^ b) <= RADIUS
-        i, j, a, b = i[near], j[near], a[near], b[near]
-        here = _meets_here(cell[i], a, b)
+        here = _meets_here(cell[i], code[i], code[j])
         yield order[i[here]], order[j[here]]
 
 
 def _partner_batches(batches):
-    """The rows that have a partner in their cell by code."""
-    held = [[c.to_numpy() for c in b.columns] for b in batches]
+    """The rows that have a partner in their cell whose sketch allows a link."""
+    held = [([c.to_numpy() for c in b.columns[:5]], np.frombuffer(b"".join(b.column(5).to_pylist()), np.float16)) for b in batches]
     if held:
-        cell, salt, role, rep, code = (np.concatenate(x) for x in zip(*held))
+        cell, salt, role, rep, code = (np.concatenate(x) for x in zip(*[h[0] for h in held]))
+        sketch = np.concatenate([h[1] for h in held]).reshape(len(cell), -1)
         wanted = np.zeros(len(cell), bool)
-        for i, j in _cell_pairs(cell, salt, role, code.view(np.uint64), CODE_BLOCK):
-            apart = rep[i] != rep[j]
-            wanted[i[apart]] = wanted[j[apart]] = True
+        for i, j in _cell_pairs(cell, salt, role, code.view(np.uint64), SKETCH_BLOCK):
+            bound = np.einsum("ij,ij->i", sketch[i].astype(np.float32), sketch[j].astype(np.float32))
+            may = (bound >= THRESHOLD - SLACK) & (rep[i] != rep[j])
+            wanted[i[may]] = wanted[j[may]] = True
         yield pa.RecordBatch.from_arrays([pa.array(x[wanted]) for x in (cell, salt, role, rep, code)], ["cell", "salt", "role", "rep", "code"])
 
 
@@ -187,14 +210,15 @@ def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame) -> DataFr
     counted each; repeated rows count each; other columns, labels among them, are not read.
     """
     given = embeddings.select(F.col("vec_id").cast("long"), "embedding")
-    coded = written(spark, given.mapInArrow(_code_batches(learnt_models(given)), "vec_id long, dim int, code long, unit binary"), "codes")
+    coded = written(spark, given.mapInArrow(_code_batches(learnt_models(given)), "vec_id long, dim int, code long, sketch binary, unit binary"), "codes")
     able = coded.where("unit is not null and vec_id is not null")
-    reps = written(spark, able.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("dim").alias("dim"), F.first("code").alias("code")), "vectors")
+    same = [F.first(c).alias(c) for c in ("dim", "code", "sketch")]
+    reps = written(spark, able.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), *same), "vectors")
 
-    rows = reps.select("rep", "dim", "code").mapInArrow(_table_batches, "cell long, role int, rep long, code long")
+    rows = reps.select("rep", "dim", "code", "sketch").mapInArrow(_table_batches, "cell long, role int, rep long, code long, sketch binary")
     hot = written(spark, rows.groupBy("cell").agg(F.count("*").alias("n_hot")).where(F.col("n_hot") > HOT), "hot")
     rows = rows.withColumn("salt", F.lit(0)) if hot.isEmpty() else spread_hot(rows, hot, F.col("rep"), HOT)
-    rows = rows.select("cell", "salt", "role", "rep", "code").repartition("cell", "salt")
+    rows = rows.select("cell", "salt", "role", "rep", "code", "sketch").repartition("cell", "salt")
     partnered = rows.mapInArrow(_partner_batches, "cell long, salt int, role int, rep long, code long")
     dressed = partnered.join(reps.select("rep", "weight", "unit"), "rep").select("cell", "salt", "role", "rep", "code", "weight", "unit")
     links = written(spark, dressed.repartition("cell", "salt").mapInArrow(_link_batches, "a long, b long, n long"), "links")

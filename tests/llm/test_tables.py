@@ -78,6 +78,17 @@ def test_codes_are_balanced():
     assert np.abs(bits.mean(0) - 0.5).max() < 0.1
 
 
+@pytest.mark.parametrize("dim", [1, 5, 64, 300])
+def test_sketches_never_undercut_the_cosine(dim):
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(300, dim)) * np.linspace(0.1, 2, dim) + r.normal(size=dim) * (dim % 2)
+    x = np.vstack([x, x[:50] + r.normal(size=(50, dim)) * 0.05, -x[:5]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for sample in (x, x[:3], x[:0]):
+        s = itq_dedup.sketches(x, itq_dedup.sketch_axes(sample, dim)).astype(np.float32)
+        assert (s @ s.T + itq_dedup.SLACK >= x @ x.T).all()
+
+
 # URLs
 
 def plain_url(url):
