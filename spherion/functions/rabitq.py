@@ -112,6 +112,11 @@ def binary_estimate(metric: str, signs: np.ndarray, factors: dict, query: np.nda
     return -inner, factors["factor_err"] * length
 
 
+def binary_products(signs: np.ndarray, factors: dict, queries: np.ndarray) -> np.ndarray:
+    """Estimated inner products with several rotated queries, a row per query."""
+    return (queries @ np.where(signs, 1.0, -1.0).T) * factors["factor_ip"]
+
+
 def lower_bound(metric: str, signs, factors, query, epsilon: float = 1.9) -> np.ndarray:
     rough, error = binary_estimate(metric, signs, factors, query)
     return rough - epsilon * error

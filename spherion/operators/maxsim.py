@@ -125,63 +125,128 @@ class CoarseOptions:
         return self
 
 
-def _estimates(q: np.ndarray):
-    rotated = rabitq.rotate(q)
+#: Numbers of a block of tokens, and nearest tokens that a task holds before it passes some on.
+BLOCK_NUMBERS, HELD_TOKENS = 1 << 21, 1 << 18
+
+
+def _token_blocks(batches, dim: int):
+    """(document ids, first token of each, id and position of each token, token matrix) of whole documents in small blocks."""
+    for batch in batches:
+        keys, held, numbers = [], [], 0
+        tensors = list(zip(batch.column(0).to_pylist(), _tensors(batch.column(1))))
+        for at, (key, d) in enumerate(tensors):
+            if d is not None:
+                if d.shape[1] != dim:
+                    raise ValueError("dimension is not matched")
+                keys.append(key)
+                held.append(d)
+                numbers += d.size
+            if held and (numbers >= BLOCK_NUMBERS or at == len(tensors) - 1):
+                ids, sizes = np.array(keys, np.int64), np.array([len(d) for d in held])
+                first = np.cumsum(sizes) - sizes
+                yield ids, first, np.repeat(ids, sizes), (np.arange(sizes.sum()) - np.repeat(first, sizes)).astype(np.int32), np.vstack(held)
+                keys, held, numbers = [], [], 0
+
+
+def _rough(rotated: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Estimated token distances, a row per query token."""
+    return -rabitq.binary_products(*rabitq.binary_code(rabitq.rotate(x)), rotated)
+
+
+def _nearest_tokens(rotated: np.ndarray, refine: int):
+    """A task's ``refine`` nearest tokens of each query token by estimate."""
+
+    def nearest(rows):
+        q, rough, ids, pos = (np.concatenate(x) for x in zip(*rows))
+        order = np.lexsort((pos, ids, rough, q))
+        first = np.searchsorted(q[order], np.arange(len(rotated)))
+        best = order[np.arange(len(order)) - first[q[order]] < refine]
+        return q[best], rough[best], ids[best], pos[best]
+
+    def packed(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "rough", "id", "pos"])
 
     def run(batches):
-        for batch in batches:
-            ids, pos, vec = [], [], []
-            for key, d in zip(batch.column(0).to_pylist(), _tensors(batch.column(1))):
-                if d is not None:
-                    ids += [key] * len(d)
-                    pos += range(len(d))
-                    vec.append(d)
-            if not vec:
-                continue
-            x = np.vstack(vec)
-            if x.shape[1] != q.shape[1]:
-                raise ValueError("dimension is not matched")
-            signs, factors = rabitq.binary_code(rabitq.rotate(x))
-            n = len(x)
-            rough = np.stack([rabitq.binary_estimate("ip", signs, factors, t)[0] for t in rotated])
-            exact = -(q @ x.T)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(ids, len(q))), pa.array(np.tile(np.array(pos, np.int32), len(q))), pa.array(np.repeat(np.arange(len(q), dtype=np.int32), n)), pa.array(rough.ravel()), pa.array(exact.ravel())],
-                ["id", "pos", "q", "rough", "exact"],
-            )
+        rows, waiting = [], 0
+        for _, _, ids, pos, x in _token_blocks(batches, rotated.shape[1]):
+            n, rough = len(ids), _rough(rotated, x)
+            rows.append((np.repeat(np.arange(len(rough), dtype=np.int32), n), rough.ravel(), np.tile(ids, len(rough)), np.tile(pos, len(rough))))
+            waiting += rough.size
+            if waiting > HELD_TOKENS:
+                rows = [nearest(rows)]
+                waiting = len(rows[0][0])
+                if waiting > HELD_TOKENS // 2:
+                    yield packed(rows[0])
+                    rows, waiting = [], 0
+        if rows:
+            yield packed(nearest(rows))
 
     return run
 
 
-def _page_scores(tokens: DataFrame, options: CoarseOptions, bounds: list[float] | None) -> DataFrame:
-    """(id, estimate) from token distances (id, pos, q, rough, exact).
+def _cuts(tokens: DataFrame, refine: int) -> DataFrame:
+    """(q, cut): the last (rough, id, pos) of each query token that is among its ``refine`` nearest; a row per query token."""
 
-    The ``refine`` best of each query token become exact; a document keeps its least distance per query token.  With
-    ``bounds`` (one per query token) not every token was visited: a missing cell is the greater of the query token's worst
-    visited distance and its bound, or 0 if it visited nothing.
-    """
-    if options.refine:
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("rough", "id", "pos"))
-        chosen = tokens.select("id", "pos", "q", F.col("exact").alias("refined"), rank.alias("r")).where(F.col("r") <= options.refine).drop("r")
-        tokens = tokens.join(chosen, ["id", "pos", "q"], "left").withColumn("rough", F.coalesce("refined", "rough"))
-    cells = tokens.groupBy("id", "q").agg(F.min("rough").alias("d"))
-    if bounds is None:
-        total = cells.groupBy("id").agg(F.sum("d").alias("estimate"))
-    else:
-        known = F.element_at(F.array(*[F.lit(float(b)) for b in bounds]), F.col("q") + 1)
-        gaps = tokens.groupBy("q").agg(F.greatest(F.max("rough"), known).alias("w"))
-        all_gaps = gaps.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("all"))
-        total = cells.join(F.broadcast(gaps), "q").groupBy("id").agg(F.sum(F.col("d") - F.col("w")).alias("d"))
-        total = total.join(F.broadcast(all_gaps)).select("id", (F.col("d") + F.col("all")).alias("estimate"))
-    out = total.orderBy("estimate", "id")
-    return out if options.candidate_limit < 0 else out.limit(options.candidate_limit)
+    def nearest(rows: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("rough", "id", "pos"))
+        return rows.withColumn("r", rank).where(F.col("r") <= refine).drop("r")
+
+    dealt = tokens.select("q", "rough", "id", "pos", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part"))
+    return nearest(nearest(dealt, "q", "part"), "q").groupBy("q").agg(F.max(F.struct("rough", "id", "pos")).alias("cut"))
+
+
+def _document_estimates(q: np.ndarray, rotated: np.ndarray, cuts: dict[int, tuple]):
+    def run(batches):
+        for keys, first, ids, pos, x in _token_blocks(batches, q.shape[1]):
+            rough = _rough(rotated, x)
+            for k, (r, key, p) in cuts.items():
+                at = np.flatnonzero((rough[k] < r) | ((rough[k] == r) & ((ids < key) | ((ids == key) & (pos <= p)))))
+                rough[k, at] = -(x[at] @ q[k])
+            score = np.minimum.reduceat(rough, first, axis=1).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(score)], ["id", "estimate"])
+
+    return run
+
+
+def _limited(found: DataFrame, limit: int) -> DataFrame:
+    out = found.orderBy("estimate", "id")
+    return out if limit < 0 else out.limit(limit)
 
 
 def coarse_candidates(docs: DataFrame, query, options: CoarseOptions = CoarseOptions(), id_col: str = "doc_id", tensor_col: str = "tokens") -> DataFrame:
-    """(id, estimate): the order of documents that 1-bit codes of all tokens estimate."""
+    """(id, estimate): the order of documents that 1-bit codes of all tokens estimate.
+
+    A document is scored where it is read, without a shuffle; with ``refine`` a first pass finds how near a token must be
+    to each query token to be scored exactly.  Null tensors and null ids are skipped; a repeated id is scored each time.
+    """
     options = options.checked()
-    tokens = docs.select(F.col(id_col).cast("long").alias("id"), tensor_col).mapInArrow(_estimates(checked_tensor(query)), "id long, pos int, q int, rough double, exact double")
-    return _page_scores(tokens, options, None)
+    q = checked_tensor(query)
+    rotated = rabitq.rotate(q)
+    given = docs.select(F.col(id_col).cast("long").alias("id"), tensor_col).where("id is not null")
+    cuts = {}
+    if options.refine:
+        nearest = given.mapInArrow(_nearest_tokens(rotated, options.refine), "q int, rough double, id long, pos int")
+        cuts = {r["q"]: tuple(r["cut"]) for r in _cuts(nearest, options.refine).collect()}
+    return _limited(given.mapInArrow(_document_estimates(q, rotated, cuts), "id long, estimate double"), options.candidate_limit)
+
+
+def _page_scores(tokens: DataFrame, options: CoarseOptions, bounds: list[float]) -> DataFrame:
+    """(id, estimate) from the token distances (id, pos, q, rough, exact) of visited tokens.
+
+    The ``refine`` best of each query token become exact; a document keeps its least distance per query token.  A missing
+    cell is the greater of the query token's worst visited distance and its bound, or 0 if it visited nothing.
+    """
+    if options.refine:
+        near = F.struct("rough", "id", "pos") <= F.col("cut")
+        refined = F.when(near, F.col("exact")).otherwise(F.col("rough"))
+        tokens = tokens.join(F.broadcast(_cuts(tokens, options.refine)), "q").select("id", "q", refined.alias("rough"))
+    cells = tokens.groupBy("id", "q").agg(F.min("rough").alias("d"))
+    known = F.element_at(F.array(*[F.lit(float(b)) for b in bounds]), F.col("q") + 1)
+    gaps = tokens.groupBy("q").agg(F.greatest(F.max("rough"), known).alias("w"))
+    all_gaps = gaps.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("all"))
+    total = cells.join(F.broadcast(gaps), "q").groupBy("id").agg(F.sum(F.col("d") - F.col("w")).alias("d"))
+    total = total.join(F.broadcast(all_gaps)).select("id", (F.col("d") + F.col("all")).alias("estimate"))
+    return _limited(total, options.candidate_limit)
 
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id", tensor_col: str = "tokens") -> DataFrame:
@@ -230,12 +295,17 @@ def indexed_candidates(index: IvfIndex, query, probes: str | list[int], options:
     return _page_scores(rows.mapInArrow(run, "id long, pos int, q int, rough double, exact double"), options, bounds)
 
 
-def maxsim_search(docs: DataFrame, query, k: int, options: CoarseOptions = CoarseOptions(), id_col: str = "doc_id", tensor_col: str = "tokens") -> DataFrame:
-    """(id, distance): candidates by ``coarse_candidates``, then, unless the backend is coarse_only, exact reranking of them.
+def maxsim_search(
+    docs: DataFrame, query, k: int, options: CoarseOptions = CoarseOptions(), id_col: str = "doc_id", tensor_col: str = "tokens", index: IvfIndex | None = None, probes: str | list[int] | None = None
+) -> DataFrame:
+    """(id, distance): candidates, then, unless the backend is coarse_only, exact reranking of them.
 
+    Candidates come from all tokens, or from the ``probes`` of an ``index`` over ``token_rows(docs)``.
     There is no GPU: ``gpu`` and ``auto`` score on the executors with the same result.
     """
-    found = coarse_candidates(docs, query, options, id_col, tensor_col)
+    if index is not None and probes is None:
+        raise ValueError("a search through an index needs probes")
+    found = coarse_candidates(docs, query, options, id_col, tensor_col) if index is None else indexed_candidates(index, query, probes, options)
     if options.backend == "coarse_only":
         return found.select("id", F.col("estimate").alias("distance")).orderBy("distance", "id").limit(k)
     chosen = docs.join(found.select(F.col("id").alias("__id")), docs[id_col] == F.col("__id"), "left_semi")

@@ -7,9 +7,8 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spherion.operators.maxsim import MAX_CANDIDATES, CoarseOptions, checked_tensor, coarse_candidates
+from spherion.operators.maxsim import MAX_CANDIDATES, CoarseOptions, checked_tensor, coarse_candidates, exact_scores
 from spherion.sources.tensors import TensorStore, descriptor_problem, external_scores
 
 STORAGES = ("heap_array", "external_ref", "external_relation")
@@ -100,22 +99,44 @@ class Registry:
             if table.get(c) not in kinds:
                 raise ValueError(f"{c} must be a {kinds[0]} column")
 
+    def _under_contract(self, s: Source) -> DataFrame:
+        return self.spark.table(s.relation).where(F.col(s.contract_column) == s.model_contract).where(F.col(s.public_id).isNotNull())
+
+    def ids(self, name: str) -> DataFrame:
+        """(id) of the documents under the contract."""
+        s = self.resolve(name)
+        return self._under_contract(s).select(F.col(s.public_id).cast("long").alias("id"))
+
     def described(self, name: str, required: bool) -> DataFrame:
         """(id, descriptor columns) under the contract; ``required``: a document without a descriptor fails, else it drops out."""
         s = self.resolve(name)
-        own = self.spark.table(s.relation).where(F.col(s.contract_column) == s.model_contract).where(F.col(s.public_id).isNotNull())
+        if s.storage == "heap_array":
+            raise ValueError("a heap_array source has no descriptors")
+        own = self._under_contract(s)
         if s.storage == "external_ref":
             out = own.select(F.col(s.public_id).cast("long").alias("id"), *DESCRIPTOR)
         else:
             d = self.spark.table(s.descriptor_relation).select(F.col(s.descriptor_id).cast("long").alias("__d"), *DESCRIPTOR)
             ids = own.select(F.col(s.public_id).cast("long").alias("id"))
             out = ids.join(d, ids["id"] == d["__d"], "left" if required else "inner").drop("__d")
-        problem = F.udf(descriptor_problem, T.StringType())(*DESCRIPTOR)
-        out = out.withColumn("__bad", problem)
+        out = out.withColumn("__bad", descriptor_problem())
         checked = F.when(F.col("__bad").isNull(), F.col("id")).otherwise(F.raise_error(F.concat_ws(": ", F.lit("bad tensor descriptor"), "__bad")).cast("long"))
         return out.withColumn("id", checked).drop("__bad")
 
 
+def _scores(registry: Registry, store: TensorStore | None, name: str, ids: DataFrame, query, required: bool) -> DataFrame:
+    """(id, distance) of the documents in ``ids`` under the contract; a heap_array source has no descriptors and skips null tensors."""
+    q, s = checked_tensor(query), registry.resolve(name)
+    if s.storage == "heap_array":
+        held = registry._under_contract(s).select(F.col(s.public_id).cast("long").alias("id"), F.col(s.tensor_column).alias("tensor"))
+        return exact_scores(held.join(ids, "id", "left_semi"), q, "id", "tensor")
+    return external_scores(store.resolve(registry.described(name, required).join(ids, "id", "left_semi")), q)
+
+
+def _most_similar(scored: DataFrame, k: int) -> DataFrame:
+    return scored.select(F.col("id").alias("public_id"), (-F.col("distance")).alias("similarity")).orderBy(F.desc("similarity"), "public_id").limit(k)
+
+
 def tensor_rerank(registry: Registry, store: TensorStore, name: str, query, candidate_ids: list[int], k: int) -> DataFrame:
     """(public_id, similarity): exact scores of given ids; ids without a descriptor drop out."""
     if not candidate_ids or any(i is None for i in candidate_ids) or len(set(candidate_ids)) < len(candidate_ids):
@@ -123,16 +144,16 @@ def tensor_rerank(registry: Registry, store: TensorStore, name: str, query, cand
     if not 1 <= k <= len(candidate_ids):
         raise ValueError("top_k must be from 1 to the number of candidate ids")
     ids = registry.spark.createDataFrame([(int(i),) for i in candidate_ids], "id long")
-    chosen = registry.described(name, required=False).join(ids, "id", "left_semi")
-    scored = external_scores(store.resolve(chosen), checked_tensor(query))
-    return scored.select(F.col("id").alias("public_id"), (-F.col("distance")).alias("similarity")).orderBy(F.desc("similarity"), "public_id").limit(k)
+    return _most_similar(_scores(registry, store, name, ids, query, required=False), k)
 
 
 def registered_search(registry: Registry, store: TensorStore, name: str, docs: DataFrame, query, candidate_limit: int, k: int, id_col: str = "doc_id", tensor_col: str = "tokens") -> DataFrame:
-    """(public_id, similarity): coarse candidates from ``docs``, exact external scores; a missing descriptor is an error."""
+    """(public_id, similarity): coarse candidates from ``docs``, exact external scores; a missing descriptor is an error.
+
+    Only documents under the source's contract use up ``candidate_limit``.  A heap_array source is scored from its own tensors.
+    """
     if not 1 <= candidate_limit <= MAX_CANDIDATES or not 1 <= k <= candidate_limit:
         raise ValueError("candidate_limit must be from 1 to 65536 and top_k from 1 to candidate_limit")
-    found = coarse_candidates(docs, query, CoarseOptions(candidate_limit=candidate_limit, backend="gpu"), id_col, tensor_col)
-    chosen = registry.described(name, required=True).join(found.select("id"), "id", "left_semi")
-    scored = external_scores(store.resolve(chosen), checked_tensor(query))
-    return scored.select(F.col("id").alias("public_id"), (-F.col("distance")).alias("similarity")).orderBy(F.desc("similarity"), "public_id").limit(k)
+    found = coarse_candidates(docs, query, CoarseOptions(), id_col, tensor_col).join(registry.ids(name), "id", "left_semi")
+    found = found.orderBy("estimate", "id").limit(candidate_limit)
+    return _most_similar(_scores(registry, store, name, found.select("id"), query, required=True), k)

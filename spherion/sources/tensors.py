@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spherion.functions.kernels import maxsim
@@ -15,22 +14,19 @@ from spherion.functions.kernels import maxsim
 #: Fixed limits of descriptors.
 MAX_ROWS, MAX_DIM, MAX_REF = 65536, 60000, 4096
 DTYPES = {"float16": "<f2", "float32": "<f4"}
-_CHECKSUM = re.compile(r"sha256:[0-9a-f]{64}")
-
-
-def descriptor_problem(ref: str | None, rows: int | None, dim: int | None, dtype: str | None, checksum: str | None) -> str | None:
-    """What is wrong with a tensor descriptor, or None."""
-    if not ref or len(ref.encode()) > MAX_REF or any(ord(c) < 32 or ord(c) == 127 for c in ref):
-        return "tensor_ref is invalid"
-    if rows is None or not 1 <= rows <= MAX_ROWS:
-        return f"tensor_rows must be from 1 to {MAX_ROWS}"
-    if dim is None or not 1 <= dim <= MAX_DIM:
-        return f"tensor_dim must be from 1 to {MAX_DIM}"
-    if dtype not in DTYPES:
-        return "tensor_dtype must be float16 or float32"
-    if not checksum or not _CHECKSUM.fullmatch(checksum):
-        return "tensor_checksum must be sha256: and 64 lower-case hexadecimal digits"
-    return None
+_CHECKSUM, _CONTROL = r"\Asha256:[0-9a-f]{64}\z", r"[\x00-\x1f\x7f]"
+
+
+def descriptor_problem(ref: str = "tensor_ref", rows: str = "tensor_rows", dim: str = "tensor_dim", dtype: str = "tensor_dtype", checksum: str = "tensor_checksum") -> Column:
+    """What is wrong with the tensor descriptor in these columns, or null; nulls are wrong."""
+    rules = [
+        ("tensor_ref is invalid", (F.col(ref) != "") & (F.octet_length(ref) <= MAX_REF) & ~F.col(ref).rlike(_CONTROL)),
+        (f"tensor_rows must be from 1 to {MAX_ROWS}", F.col(rows).between(1, MAX_ROWS)),
+        (f"tensor_dim must be from 1 to {MAX_DIM}", F.col(dim).between(1, MAX_DIM)),
+        (f"tensor_dtype must be {' or '.join(DTYPES)}", F.col(dtype).isin(*DTYPES)),
+        ("tensor_checksum must be sha256: and 64 lower-case hexadecimal digits", F.col(checksum).rlike(_CHECKSUM)),
+    ]
+    return F.coalesce(*[F.when(F.coalesce(holds, F.lit(False)), F.lit(None).cast("string")).otherwise(F.lit(text)) for text, holds in rules])
 
 
 def descriptors(docs: DataFrame, id_col: str = "doc_id", tensor_col: str = "tokens", dtype: str = "float16") -> DataFrame:

@@ -12,9 +12,11 @@ GOOD = ("sha256://x", 2, 2, "float16", "sha256:" + "0" * 64)
 
 
 @pytest.mark.parametrize("at, value", [(0, ""), (0, "a\nb"), (0, "x" * 5000), (1, 0), (1, 65537), (2, 60001), (3, "int8"), (4, "sha256:" + "A" * 64)])
-def test_descriptor_problems(at, value):
-    assert descriptor_problem(*GOOD) is None
-    assert descriptor_problem(*[value if k == at else v for k, v in enumerate(GOOD)])
+def test_descriptor_problems(spark, at, value):
+    wrong = [tuple(bad if k == at else v for k, v in enumerate(GOOD)) for bad in (value, None)]
+    df = spark.createDataFrame([GOOD, *wrong], "tensor_ref string, tensor_rows int, tensor_dim int, tensor_dtype string, tensor_checksum string")
+    good, *bad = [r[0] for r in df.select(descriptor_problem()).collect()]
+    assert good is None and all(bad)
 
 
 @pytest.fixture
@@ -59,6 +61,11 @@ def test_rerank_and_search(spark, source):
     docs, _, store, registry = source
     got = [tuple(r) for r in tensor_rerank(registry, store, "s", [[1.0, 0.0], [0.0, 1.0]], [3, 2, 1, 4], 4).collect()]
     assert got == [(1, 2.0), (2, 0.5), (3, 0.5)]
+    # a document under another contract neither appears nor uses up the limit
+    assert [r[0] for r in registered_search(registry, store, "s", docs, [[1.0, 0.0]], 2, 2).collect()] == [1, 2]
+    registry.register("heap", "src_docs", "doc_id", "contract", "m", "heap_array", tensor_column="tokens")
+    assert [tuple(r) for r in registered_search(registry, None, "heap", docs, [[1.0, 0.0]], 2, 2).collect()] == [(1, 1.0), (2, 0.5)]
+    assert [tuple(r) for r in tensor_rerank(registry, None, "heap", [[1.0, 0.0]], [2, 4], 2).collect()] == [(2, 0.5)]
     mine = docs.where("contract = 'm'")
     assert [r[0] for r in registered_search(registry, store, "s", mine, [[1.0, 0.0]], 3, 2).collect()] == [1, 2]
     spark.table("src_desc").where("source_id <> 2").createOrReplaceTempView("src_desc2")

@@ -327,6 +327,42 @@ def test_profile(spark):
     assert [i for i, _ in rows] == [1, 2] and (profile["documents"], profile["document_tokens"], profile["candidates"]) == (4, 6, 3)
 
 
+@pytest.mark.parametrize("refine, held", [(0, 1 << 18), (5, 1 << 18), (5, 12), (40, 12), (10000, 1 << 18)])
+def test_refined_candidates_against_brute_force(spark, monkeypatch, refine, held):
+    monkeypatch.setattr(M, "HELD_TOKENS", held)
+    monkeypatch.setattr(M, "BLOCK_NUMBERS", 64)
+    r = np.random.default_rng(9)
+    docs = [(i, r.normal(size=(1 + i % 4, 8)).tolist()) for i in range(60)]
+    docs[7:9] = [(7, docs[6][1]), (8, None)]
+    q = r.normal(size=(3, 8))
+    df = spark.createDataFrame([*docs, (None, docs[0][1])], "doc_id long, tokens array<array<double>>").repartition(3)
+    tokens = [(i, p, np.array(t)) for i, d in docs if d for p, t in enumerate(d)]
+    signs, factors = rabitq.binary_code(rabitq.rotate(np.stack([t for _, _, t in tokens])))
+    want = {}
+    for t, turned in zip(q, rabitq.rotate(q)):
+        rough = rabitq.binary_estimate("ip", signs, factors, turned)[0]
+        order = sorted(range(len(tokens)), key=lambda n: (round(rough[n], 9), tokens[n][:2]))
+        near = set(order[:refine])
+        cells = {}
+        for n, (i, _, x) in enumerate(tokens):
+            cells.setdefault(i, []).append(-(x @ t) if n in near else rough[n])
+        for i, c in cells.items():
+            want[i] = want.get(i, 0) + min(c)
+    got = {x["id"]: x["estimate"] for x in M.coarse_candidates(df, q, M.CoarseOptions(refine=refine)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_search_through_an_index(spark):
+    r = np.random.default_rng(10)
+    docs = spark.createDataFrame([(i, r.normal(size=(3, 8)).tolist()) for i in range(100)], "doc_id long, tokens array<array<double>>")
+    index = IvfIndex.build(M.token_rows(docs), scratch_path(spark, "ivf"), IvfOptions(lists=(4,), metric="ip"))
+    q, options = r.normal(size=(2, 8)), M.CoarseOptions(refine=1000, candidate_limit=20, backend="auto")
+    exact = [x["id"] for x in M.maxsim_top_k(docs, q, 5).collect()]
+    assert [x["id"] for x in M.maxsim_search(docs, q, 5, options, index=index, probes="4").collect()] == exact
+    with pytest.raises(ValueError):
+        M.maxsim_search(docs, q, 5, options, index=index)
+
+
 def test_indexed_candidates_fill_gaps(spark):
     r = np.random.default_rng(8)
     docs = [(i, r.normal(size=(3, 8)).tolist()) for i in range(200)]
