@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spherion.functions import distance as D
-from spherion.functions import maxsim_cost
 from spherion.operators import maxsim as M
 from spherion.operators import quantized as Q
 from spherion.operators.graph import GraphIndex, GraphOptions
 from spherion.operators.ivf import IvfIndex, IvfOptions
 from spherion.operators.topk import knn_join as nearest_join
 from spherion.operators.topk import range_search, top_k, top_k_per_group
+from spherion.plans import cost
 from spherion.plans.scratch import scratch_path
 from spherion.sources.registry import Registry, registered_search, tensor_rerank
 from spherion.sources.tensors import TensorStore, descriptors
@@ -507,12 +507,21 @@ def halfvec_l2_topk(spark, sf_dir):
     return _rounded(top_k(df.where("embedding is not null").select("vec_id", Q.to_half("embedding").alias("embedding")), q, 10).select("vec_id", "distance"), "distance")
 
 
-@query()
+@query("""
+    , n as (select count(*) as t, ceil(count(*) / 8) as docs from embeddings), w as (
+        select 'exact' as way, 1 as jobs, t * 64 * 4 as bytes_read, 0.0 as bytes_shuffled, t * 64 * 4 as products, 0 as estimates from n
+        union all select 'coarse', 3, 3 * t * 64 * 4, 0, least(32, docs) / docs * t * 64 * 4, 2 * t * 64 * 4 from n
+        union all select 'indexed', 3, (2 * (1 - pow(0.75, 4)) * 4.125 + 4) * t * 64, t / 4 * 4 * 20, least(32, docs) / docs * t * 64 * 4, 2 * t / 4 * 64 * 4 from n
+    )
+    select way, jobs, round(cast(bytes_read as double), 3) as bytes_read, round(cast(bytes_shuffled as double), 3) as bytes_shuffled, round(cast(products as double), 3) as products, round(cast(estimates as double), 3) as estimates from w
+""")
 def maxsim_cost_estimates(spark, sf_dir):
-    """Estimated costs of the backends for the table's statistics."""
+    """What each way of a late-interaction search would read, shuffle and compute on this table."""
     n = embeddings(spark, sf_dir).count()
-    given = [(b, maxsim_cost.estimate(maxsim_cost.CostInput(n / 8, n, n / 4, n / 100, 64, 32, 4, b, 10.0, 1.0, 32))) for b in maxsim_cost.BACKENDS]
-    return spark.createDataFrame([(b, c.startup, c.total, c.selectivity, c.index_pages) for b, c in given], "backend string, startup double, total double, selectivity double, index_pages double")
+    corpus, options = cost.Corpus(-(-n // 8), n, 64), M.CoarseOptions(refine=64, candidate_limit=32, backend="auto")
+    found = [cost.work(w, corpus, 4, options, 0.25) for w in cost.WAYS]
+    rows = [(w.way, w.jobs, *(round(float(x), 3) for x in (w.bytes_read, w.bytes_shuffled, w.products, w.estimates))) for w in found]
+    return spark.createDataFrame(rows, "way string, jobs int, bytes_read double, bytes_shuffled double, products double, estimates double")
 
 
 def queries() -> dict:

@@ -127,6 +127,8 @@ class CoarseOptions:
 
 #: Numbers of a block of tokens, and nearest tokens that a task holds before it passes some on.
 BLOCK_NUMBERS, HELD_TOKENS = 1 << 21, 1 << 18
+#: Dimensions up to which tokens are rotated by a matrix.
+MATRIX_DIM = 1024
 
 
 def _token_blocks(batches, dim: int):
@@ -150,7 +152,8 @@ def _token_blocks(batches, dim: int):
 
 def _rough(rotated: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Estimated token distances, a row per query token."""
-    return -rabitq.binary_products(*rabitq.binary_code(rabitq.rotate(x)), rotated)
+    turned = x @ rabitq.rotation(x.shape[1]) if x.shape[1] <= MATRIX_DIM else rabitq.rotate(x)
+    return -rabitq.binary_products(*rabitq.binary_code(turned), rotated)
 
 
 def _nearest_tokens(rotated: np.ndarray, refine: int):

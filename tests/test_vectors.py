@@ -8,13 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from spherion.functions import distance as D
-from spherion.functions import kmeans, maxsim_cost, rabitq
+from spherion.functions import kmeans, rabitq
 from spherion.operators import maxsim as M
 from spherion.operators import quantized as Q
 from spherion.operators.graph import GraphIndex, GraphOptions, robust_prune
 from spherion.operators.ivf import IvfIndex, IvfOptions, checked_probes
 from spherion.operators.recall import QuerySampler, query_recall, recall
 from spherion.operators.topk import knn_join, range_search, top_k
+from spherion.plans import cost, planner
 from spherion.plans.planner import Settings, choose
 from spherion.plans.scratch import scratch_path
 
@@ -297,20 +298,39 @@ def test_sampler_and_recall(spark):
     assert math.isnan(recall(empty, empty)) and recall(spark.range(5), spark.range(10)) == 0.5
 
 
-def cost(backend, **more):
-    given = dict(heap_rows=34054, index_tokens=25438338, token_nodes_per_query=10000, base_index_pages=20000, dimension=320, element_bits=16, query_tokens=32, limit=20, candidate_limit=256)
-    return maxsim_cost.estimate(maxsim_cost.CostInput(**(given | more), backend=backend))
-
-
 def test_cost_properties():
-    for b in maxsim_cost.BACKENDS:
-        c = cost(b)
-        assert 0 < c.startup <= c.total and 1e-9 <= c.selectivity <= 1 and c.index_pages >= 1
-    assert cost("cpu_exact", query_tokens=64).startup > cost("cpu_exact", query_tokens=1).startup
-    assert cost("cpu_exact", candidate_limit=128).selectivity < cost("cpu_exact", candidate_limit=2048).selectivity
-    assert cost("auto").startup > cost("gpu").startup
-    odd = cost("coarse_only", heap_rows=-1, index_tokens=0, token_nodes_per_query=0, base_index_pages=0, limit=None, candidate_limit=None, selectivity=0)
-    assert all(map(math.isfinite, (odd.startup, odd.total, odd.selectivity, odd.index_pages)))
+    corpus, options = cost.Corpus(34054, 25438338, 320), M.CoarseOptions(refine=64, candidate_limit=256, backend="auto")
+    for way in cost.WAYS:
+        w = cost.work(way, corpus, 32, options, 0.01)
+        assert 0 < w.seconds(64) < w.seconds(8) and math.isfinite(w.seconds(0))
+        assert cost.work(way, corpus, 64, options, 0.01).seconds(8) > w.seconds(8)
+        assert math.isfinite(cost.work(way, cost.Corpus(0, 0, 1), 1, options).seconds(1))
+    narrow, wide = (cost.work("indexed", corpus, 32, M.CoarseOptions(candidate_limit=n, backend="auto"), 0.01) for n in (128, 2048))
+    assert narrow.products < wide.products
+    assert cost.work("coarse", corpus, 32).products == 0 < cost.work("coarse", corpus, 32, options).products
+    assert cost.cheapest(corpus, 32, 8, options) == "exact"
+    only = M.CoarseOptions(candidate_limit=256)
+    assert cost.cheapest(cost.Corpus(1e9, 1e11, 128), 32, 8000, only, 1e-4) == "indexed"
+    for bad in (lambda: cost.work("gpu", corpus, 1), lambda: cost.work("exact", corpus, 0), lambda: cost.Corpus(-1, 0, 1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_planned_searches(spark):
+    r = np.random.default_rng(12)
+    rows = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    index, q = IvfIndex.build(rows, scratch_path(spark, "ivf"), IvfOptions(lists=(8,))), r.normal(size=8).tolist()
+    exact = [x["vec_id"] for x in planner.search(rows, q, 5).collect()]
+    assert [x["vec_id"] for x in planner.search(rows, q, 5, Settings(probes="7"), index).collect()][0] == exact[0]
+    assert choose(index, 200, Settings(probes="2"), True) == "index" and choose(index, 200, Settings(probes="2", enable_scan=False), True) == "flat"
+    docs = spark.createDataFrame([(i, r.normal(size=(3, 8)).tolist()) for i in range(60)], "doc_id long, tokens array<array<double>>")
+    tokens = IvfIndex.build(M.token_rows(docs), scratch_path(spark, "ivf"), IvfOptions(lists=(4,), metric="ip"))
+    t = r.normal(size=(2, 8)).tolist()
+    way, found = planner.maxsim_search(docs, t, 5, Settings(maxsim_backend="auto", maxsim_candidate_limit=20))
+    assert way == "exact" and [x["id"] for x in found.collect()] == [x["id"] for x in M.maxsim_top_k(docs, t, 5).collect()]
+    assert planner.maxsim_search(docs, t, 5)[0] == "coarse"
+    way, found = planner.maxsim_search(docs, t, 5, Settings(probes="2"), tokens)
+    assert way == "indexed" and found.count() == 5
 
 
 def test_checked_dimension(spark):
