@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from spherion.functions import distance as D
 from spherion.functions.kernels import distances, half, least, matrix
 
-#: Bytes of query vectors that are sent to every task; larger query tables are dealt over a grid.
-QUERY_BYTES = 32 << 20
+#: Bytes of query vectors that are sent to every task; larger query tables are dealt over a grid, whose cells hold as much
+#: of them and BASE_BYTES of the vectors they are compared with.
+QUERY_BYTES, BASE_BYTES = 32 << 20, 256 << 20
 
 
 def _query(query) -> Column | None:
@@ -83,11 +84,15 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", id
     """(query_id, neighbor_id, distance, rank): the k nearest rows of ``base`` for each row of ``queries``.
 
     Queries of at most QUERY_BYTES go to every task, which returns k rows a query and batch; more are dealt over a grid
-    with ``base``, so no task holds more than a block of either.
+    with ``base``, whose sides follow from the bytes of either, so no task holds more than a block of both.
     """
     q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     b = base.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    size = q.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("n")).first()["n"] * 8
+
+    def vector_bytes(df: DataFrame) -> int:
+        return df.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("n")).first()["n"] * 8
+
+    size = vector_bytes(q)
     if size <= QUERY_BYTES:
         table = q.toArrow()
         _, x = matrix(table.column(1)) if table.num_rows else (None, np.zeros((0, 0)))
@@ -96,10 +101,12 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", id
         else:
             pairs = b.mapInArrow(_scorer(metric, table.column(0).to_numpy(), half(x) if to_half else x, k, exclude_self, to_half), _PAIRS)
     else:
-        grid = -(-size // QUERY_BYTES)
-        cells = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-        left = q.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(grid))).withColumn("c", cells)
-        right = b.withColumn("c", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(grid))).withColumn("g", cells)
+        rows, columns = -(-size // QUERY_BYTES), max(-(-vector_bytes(b) // BASE_BYTES), 1)
+
+        def dealt(df: DataFrame, own: str, over: int, other: str, copies: int) -> DataFrame:
+            return df.withColumn(own, F.pmod(F.xxhash64("id", F.lit(own)), F.lit(over))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+        left, right = dealt(q, "g", rows, "c", columns), dealt(b, "c", columns, "g", rows)
 
         def cell(l: pa.Table, r: pa.Table) -> pa.Table:
             if not l.num_rows or not r.num_rows:
