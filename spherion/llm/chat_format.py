@@ -104,17 +104,37 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     one = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     out = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("rows"))
     out = out.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("source"))
-    out = out.withColumn("formatted", rendered(F.col("source"), 0))
-    for level in (1, 2):
-        out = out.withColumn("back", parsed(F.col("formatted")))
-        out = out.withColumn("formatted", F.when(F.col("back") == F.col("source"), F.col("formatted")).otherwise(rendered(F.col("source"), level)))
+    out = out.withColumn("formatted", rendered(F.col("source"), 0)).withColumn("agrees", F.lit(False))
+    for level in (1, 2):  # what agrees is not parsed again
+        out = out.withColumn("agrees", F.col("agrees") | (parsed(F.col("formatted")) == F.col("source")))
+        out = out.withColumn("formatted", F.when(F.col("agrees"), F.col("formatted")).otherwise(rendered(F.col("source"), level)))
     return out.select("conv_id", "formatted", loss_spans(F.col("formatted")).alias("loss_spans"))
 
 
+#: Spans that are cut together out of the whole text; each is then cut out of that piece.
+SPANS = 256
+
+
+def masked_text(text: Column, spans: Column) -> Column:
+    """The unescaped text under ascending spans, nothing between.
+
+    A code point is found by reading a string from its beginning, so spans are cut from pieces of SPANS of them.
+    """
+
+    def piece(at: Column) -> Column:
+        own = F.slice(spans, at + 1, SPANS)
+        first, last = F.element_at(own, 1), F.element_at(own, -1)
+        cut = F.array(F.substring(text, first["start"] + 1, last["stop"] - first["start"]))
+        return F.array_join(F.flatten(F.transform(cut, lambda p: F.transform(own, lambda s: unescaped(F.substring(p, s["start"] - first["start"] + 1, s["stop"] - s["start"]))))), "")
+
+    begin = F.sequence(F.lit(0), F.size(spans) - 1, F.lit(SPANS))
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(begin, piece), "")).otherwise(F.lit(""))
+
+
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """What the formatted text and its loss mask say, read back from them."""
     text = F.col("formatted")
-    learnt = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring(text, s["start"] + 1, s["stop"] - s["start"]))), "")
+    learnt = masked_text(text, F.col("loss_spans"))
     out = formatted.select("conv_id", parsed(text).alias("turns"), learnt.alias("learnt"), F.char_length(text).cast("long").alias("formatted_chars"))
     return out.select(
         "conv_id",

@@ -78,6 +78,17 @@ def test_codes_are_balanced():
     assert np.abs(bits.mean(0) - 0.5).max() < 0.1
 
 
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 1201])
+def test_masks_of_many_turns(spark, n):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"é{k}</s>" if k % 7 == 0 else f"[ü{k}") for k in range(n)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x["conv_id"]: x for x in chat_format.conversation_digests(chat_format.format_conversations(df)).collect()}
+    assert (got[2]["loss_chars"], got[2]["loss_sha256"]) == (0, hashlib.sha256(b"").hexdigest())
+    if n:
+        said = "".join(t for c, _, r, t in rows if c == 1 and r == "assistant")
+        assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (n, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 @pytest.mark.parametrize("dim", [1, 5, 64, 300])
 def test_sketches_never_undercut_the_cosine(dim):
     r = np.random.default_rng(dim)
