@@ -17,7 +17,6 @@ Hashes only propose; the FM-index over the words themselves decides.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from array import array
 from collections import defaultdict
 
@@ -214,7 +213,7 @@ def _candidate_batches(keys: np.ndarray):
             else:
                 out.append((DONE, home[t], doc_ids[t], ths[t], n_words[t], _digest(own), None))
         for key, rows in texts.items():  # together they compress well
-            out.append((TEXT, key, None, None, None, None, _squeezed(pickle.dumps(rows))))
+            out.append((TEXT, key, None, None, None, None, _packed_texts(rows)))
         for key, (contents, *columns) in sent.items():
             body = b"\n".join(contents)
             data = np.array([len(columns[0]), len(body)], np.int64).tobytes() + b"".join(np.array(c, np.int64).tobytes() for c in columns) + body
@@ -257,6 +256,24 @@ def _restored(data: bytes) -> bytes:
     return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
+def _packed_texts(rows: list[tuple]) -> bytes:
+    """Texts (doc, row, words, settled ranges, bytes) as columns: their number, five int64 a text, the ranges, the bytes."""
+    docs, keys, words, ranges, texts = zip(*rows)
+    head = np.array([docs, keys, words, [r.shape[1] for r in ranges], [len(t) for t in texts]], np.int64)
+    return _squeezed(np.int64(len(rows)).tobytes() + head.tobytes() + np.concatenate(ranges, axis=1).astype(np.int32).tobytes() + b"".join(texts))
+
+
+def _unpacked_texts(data: bytes):
+    """(doc, row, words, settled ranges, bytes) of what ``_packed_texts`` made."""
+    body = _restored(data)
+    n = int.from_bytes(body[:8], "little")
+    docs, keys, words, count, size = np.frombuffer(body, np.int64, 5 * n, 8).reshape(5, n)
+    ranges = np.frombuffer(body, np.int32, 2 * int(count.sum()), 8 + 40 * n).reshape(2, -1)
+    stop = len(body) - int(size.sum()) + np.cumsum(size)
+    texts = (body[e - s : e] for s, e in zip(size.tolist(), stop.tolist()))
+    return zip(docs.tolist(), keys.tolist(), words.tolist(), np.split(ranges, np.cumsum(count)[:-1], axis=1), texts)
+
+
 def _packed(docs: np.ndarray, rows: np.ndarray, where: np.ndarray) -> bytes:
     """Windows (sorted by rows, docs, where) as ranges [first, number), grouped by (docs, rows)."""
     apart = (np.diff(docs) != 0) | (np.diff(rows) != 0)
@@ -342,7 +359,7 @@ def _kept_batches(batches):
                 for d, r, where in _unpacked(data):
                     found[d, r].append(where)
                 continue
-            for doc, th, n, settled, own in pickle.loads(_restored(data)):
+            for doc, th, n, settled, own in _unpacked_texts(data):
                 first, number = np.concatenate([settled, *found.get((doc, th), ())], axis=1)
                 gone = np.zeros(n + 1, np.int32)
                 np.add.at(gone, first, 1)
