@@ -13,6 +13,8 @@ from spherion.functions.kernels import distances, half, least, matrix
 #: Bytes of query vectors that are sent to every task; larger query tables are dealt over a grid, whose cells hold as much
 #: of them and BASE_BYTES of the vectors they are compared with.
 QUERY_BYTES, BASE_BYTES = 32 << 20, 256 << 20
+#: Distances that a task holds at once.
+BLOCK = 4 << 20
 
 
 def _query(query) -> Column | None:
@@ -75,7 +77,9 @@ def _scorer(metric, ids, q, k, exclude_self, to_half):
                 continue
             rows, x = matrix(batch.column(1), q.shape[1])
             x = half(x) if to_half else x
-            yield _best(ids, batch.column(0).to_numpy()[rows], distances(metric, q, x), k, exclude_self)
+            names, step = batch.column(0).to_numpy()[rows], max(BLOCK // max(len(x), 1), 1)
+            for at in range(0, len(q), step):
+                yield _best(ids[at : at + step], names, distances(metric, q[at : at + step], x), k, exclude_self)
 
     return run
 
@@ -104,7 +108,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", id
         rows, columns = -(-size // QUERY_BYTES), max(-(-vector_bytes(b) // BASE_BYTES), 1)
 
         def dealt(df: DataFrame, own: str, over: int, other: str, copies: int) -> DataFrame:
-            return df.withColumn(own, F.pmod(F.xxhash64("id", F.lit(own)), F.lit(over))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+            # Both sides' keys must be of one type: cogroup deals each side by the hash of its own type.
+            return df.withColumn(own, F.pmod(F.xxhash64("id", F.lit(own)), F.lit(over)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
         left, right = dealt(q, "g", rows, "c", columns), dealt(b, "c", columns, "g", rows)
 

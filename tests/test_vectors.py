@@ -287,6 +287,29 @@ def test_knn_join_grid(spark, monkeypatch):
     assert [p[:2] for p in sorted(map(tuple, knn_join(df, df, 3).collect()))] == [p[:2] for p in plain]
 
 
+def test_knn_join_grid_over_many_partitions(spark, monkeypatch):
+    """Cells meet their other side wherever they are dealt: the keys of both sides hash alike."""
+    from spherion.operators import topk
+
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(90, 4)))], "vec_id long, embedding array<double>")
+    base = df.where("vec_id < 40")
+    plain = sorted(map(tuple, knn_join(df, base, 2).collect()))
+    assert len(plain) == 180
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    monkeypatch.setattr(topk, "QUERY_BYTES", 500)
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    try:
+        for size in (topk.BASE_BYTES, 400):
+            monkeypatch.setattr(topk, "BASE_BYTES", size)
+            assert [p[:2] for p in sorted(map(tuple, knn_join(df, base, 2).collect()))] == [p[:2] for p in plain]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_sampler_and_recall(spark):
     log = QuerySampler(spark, scratch_path(spark, "log"), rate=1.0, max_records=2, seed=1)
     assert all(log.record("a", [float(k), 1.0]) for k in range(3)) and log.record("b", [9.0])
