@@ -401,11 +401,7 @@ def ivf_recall(spark, sf_dir):
 def graph_recall(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     index = GraphIndex.build(df, scratch_path(spark, "graph"), GraphOptions(m=16), parts=4)
-    found = None
-    for row in _asked(df).orderBy("vec_id").toLocalIterator():
-        one = index.search(list(row["embedding"]), 10).select(F.lit(row["vec_id"]).alias("query_id"), "id")
-        found = one if found is None else found.unionByName(one)
-    return _recall_of(found, df, 10)
+    return _recall_of(index.search_many(_asked(df), 10), df, 10)
 
 
 @query("select true as enough")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spherion import catalog
 from spherion.functions import distance as D
 from spherion.functions import kmeans, rabitq
 from spherion.operators import maxsim as M
@@ -475,3 +476,54 @@ def test_index_searches_many_at_once(spark, tmp_path, monkeypatch):
     assert bare.rows().where("vec is not null").count() == 0
     with pytest.raises(ValueError):
         bare.search([0.0, 0.0], 3, [4])
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_graphs_search_many_at_once(spark, tmp_path, monkeypatch, metric):
+    from spherion.operators import graph
+
+    monkeypatch.setattr(graph, "NODES", 30)
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(r.normal(size=(120, 8)))] + [(999, None)], "vec_id long, embedding array<double>")
+    index = GraphIndex.build(df, str(tmp_path / "graph"), GraphOptions(metric=metric, m=8), parts=2)
+    assert index.rows().count() == 120
+    assert spark.read.parquet(index.path).count() == 4  # more than asked for: some NODES rows each
+    for size, answers in ((1 << 20, 1024), (200, 2)):
+        monkeypatch.setattr(graph, "QUERY_BYTES", size)
+        monkeypatch.setattr(graph, "ANSWERS", answers)
+        got = index.search_many(df.where("vec_id % 20 = 0 or vec_id = 999"), 5).collect()
+        assert len(got) == 30
+        for q in df.where("vec_id in (0, 60)").collect():
+            want = [(x["id"], round(x["distance"], 9)) for x in index.search(q["embedding"], 5).collect()]
+            mine = sorted((x for x in got if x["query_id"] == q["vec_id"]), key=lambda x: (x["distance"], x["id"]))
+            assert [(x["id"], round(x["distance"], 9)) for x in mine] == want
+    with pytest.raises(ValueError, match="dimension"):
+        index.search_many(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"), 5)
+
+
+def test_graph_recall_asks_many_in_one_plan(spark, tmp_path):
+    """Every row is asked: a plan that grows with their number overflows at some two thousand."""
+    r = np.random.default_rng(8)
+    for name, step, n in (("many", 50, 400), ("none", 50, 0), ("unasked", 1, 30)):
+        rows = [(step * k + (step == 1), v.tolist(), 0) for k, v in enumerate(r.normal(size=(n, 4)))]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / name / "embeddings.parquet"))
+        df = catalog.queries()["graph_recall"](spark, str(tmp_path / name))
+        assert df._jdf.queryExecution().analyzed().collectLeaves().size() < 8
+        assert [tuple(x) for x in df.collect()] == [(True,)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_prune_by_definition(metric):
+    from spherion.operators.graph import _to
+
+    r = np.random.default_rng(9)
+    for n, m, alphas in ((1, 4, (1.0,)), (30, 6, (1.0, 1.2)), (70, 40, (1.0, 1.3))):
+        x = r.normal(size=(n + 1, 5))
+        near = sorted(range(1, n + 1), key=lambda c: _to(metric, x[c : c + 1], x[0])[0])
+        want = []
+        for alpha in alphas if metric == "l2" else (1.0,):
+            for c in near:
+                if len(want) < m and c not in want and all(alpha * _to(metric, x[o : o + 1], x[c])[0] > _to(metric, x[c : c + 1], x[0])[0] for o in want):
+                    want.append(c)
+        want += [c for c in near if c not in want][: m - len(want)]
+        assert robust_prune(metric, x, 0, np.array([0, *range(1, n + 1), 1]), m, alphas).tolist() == want
